@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import WHITE_SPACE
 from ..session import table
 from .groups import consolidate
+from .history import repeats
 from .repeated_lines import frequent_sequences, repeated_lines, without_repeated_lines
 from .survivors import best_representatives, current_values, valid_time
 
@@ -28,6 +29,10 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("member").alias("document_id"), "group_id")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(table(spark, sf_dir, "normalized_documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "normalized_documents"))
 
@@ -44,6 +49,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_current_type": p2_current_type,
     "p4_found": p4_found,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_clean": p7_clean,
     "p7_sequences": p7_sequences,
