@@ -9,10 +9,15 @@ from ..functions.text import WHITE_SPACE
 from ..session import table
 from .groups import consolidate
 from .history import repeats
+from .neighbours import similar_pairs
 from .repeated_lines import frequent_sequences, repeated_lines, without_repeated_lines
 from .survivors import best_representatives, current_values, valid_time
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(table(spark, sf_dir, "atomic_event_embeddings"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_representatives(table(spark, sf_dir, "intel_documents"))
 
@@ -46,6 +51,7 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
     "p2_found": p2_found,
     "p2_current_type": p2_current_type,
     "p4_found": p4_found,
