@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE
-from ..session import table
+from ..session import cut, table
 from .groups import consolidate
 from .history import repeats
+from .mixing import mix
 from .neighbours import similar_pairs
 from .repeated_lines import frequent_sequences, repeated_lines, without_repeated_lines
+from .sentences import sentences
 from .survivors import best_representatives, current_values, valid_time
+from .tokens import encoded, token_counts
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +53,27 @@ def p7_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequent_sequences(table(spark, sf_dir, "normalized_documents"))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = cut(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
+    return mix(sizes, table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -59,6 +83,10 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_clean": p7_clean,
     "p7_sequences": p7_sequences,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 
 _BLANK = "coalesce(trim({0}, '" + WHITE_SPACE + "'), '') = ''"
