@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feeds
+from . import feeds, texts
 
-MODULES = (feeds,)
+MODULES = (feeds, texts)
 
 
 def queries() -> dict:
