@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import feeds, texts
+from . import dedupe, feeds, texts
 
-MODULES = (feeds, texts)
+MODULES = (feeds, texts, dedupe)
 
 
 def queries() -> dict:
