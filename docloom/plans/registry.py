@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedupe, feeds, texts
+from . import dedupe, events, feeds, texts
 
-MODULES = (feeds, texts, dedupe)
+MODULES = (feeds, texts, dedupe, events)
 
 
 def queries() -> dict:
