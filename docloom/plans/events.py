@@ -45,7 +45,7 @@ def event_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.daily_snapshot(event_drafts(spark, sf_dir), 20).select("day", "rank", "fingerprint", "score")
+    return events.daily_snapshot(event_drafts(spark, sf_dir), 20).select(F.col("day").cast("string").alias("day"), "rank", "fingerprint", "score")
 
 
 def mode_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +174,7 @@ SQL = {
     "strong_event_keys": f"SELECT id, unnest({_KEYS}) AS fingerprint FROM intel_documents",
     "event_memberships": f"WITH {_MEMBERS} SELECT DISTINCT * FROM members",
     "event_drafts": f"WITH {_DRAFTS} SELECT * FROM drafts",
-    "daily_snapshot": f"""WITH {_DRAFTS}, r AS (SELECT (last_seen_at AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai')::DATE AS day, fingerprint, score, last_seen_at FROM drafts WHERE last_seen_at IS NOT NULL),
+    "daily_snapshot": f"""WITH {_DRAFTS}, r AS (SELECT (last_seen_at AT TIME ZONE 'UTC' AT TIME ZONE 'Asia/Shanghai')::DATE::VARCHAR AS day, fingerprint, score, last_seen_at FROM drafts WHERE last_seen_at IS NOT NULL),
 n AS (SELECT day, row_number() OVER (PARTITION BY day ORDER BY score DESC, last_seen_at DESC, fingerprint DESC) AS rank, fingerprint, score FROM r)
 SELECT * FROM n WHERE rank <= 20""",
     "mode_event_type": """

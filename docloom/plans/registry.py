@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedupe, events, feeds, texts
+from . import dedupe, events, feeds, reads, texts
 
-MODULES = (feeds, texts, dedupe, events)
+MODULES = (feeds, texts, dedupe, events, reads)
 
 
 def queries() -> dict:
