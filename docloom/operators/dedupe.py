@@ -43,7 +43,7 @@ def prepared(documents: DataFrame, scope: Column | None = None) -> DataFrame:
         "id",
         (scope if scope is not None else F.lit("general")).alias("scope"),
         "trust_tier",
-        "parse_quality",
+        F.when(F.col("parse_quality").between(0, 1), F.col("parse_quality")).otherwise(0.0).alias("parse_quality"),
         F.coalesce(F.char_length("body"), F.lit(0)).alias("body_length"),
         F.coalesce(F.char_length("title"), F.lit(0)).alias("title_length"),
         url_key(F.col("canonical_url")).alias("url"),
@@ -152,7 +152,7 @@ def deduplicate(documents: DataFrame, scope: Column | None = None, approved: Dat
         edges = edges.unionByName(approved.select("a", "b"))
     components = connected_components(edges)
     rank = F.struct(
-        trust_rank(F.col("trust_tier")).alias("tier"), (-F.coalesce("parse_quality", F.lit(0.0))).alias("quality"), (-F.col("body_length")).alias("body"),
+        trust_rank(F.col("trust_tier")).alias("tier"), (-F.col("parse_quality")).alias("quality"), (-F.col("body_length")).alias("body"),
         (-F.col("title_length")).alias("title"), F.col("id").alias("id"),
     )
     members = docs.join(components, docs.id == components.node).drop("node")

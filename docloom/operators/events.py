@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import identity_values, strip, summary
+from ..session import cut
 from .dedupe import trust_rank
 
 #: Addresses that identify a paper or a release.
@@ -58,7 +59,7 @@ def memberships(documents: DataFrame, decisions: DataFrame, vulnerability_feed:
     """
     keyed = documents.select("id", strong_keys(F.col("identifiers"), F.col("canonical_url"), vulnerability_feed).alias("own"))
     linked = decisions.select(F.col("document_id").alias("id"), F.coalesce("near_dup_of", "document_id").alias("component"), "duplicate_kind")
-    rows = keyed.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = cut(keyed.join(linked, "id", "left").withColumn("component", F.coalesce("component", "id")))
     keys = rows.select("component", F.explode("own").alias("key")).distinct()
     counted = keys.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     few = keys.join(counted.filter(F.col("n") <= MOST_KEYS), "component")
@@ -81,9 +82,11 @@ def mode_first_seen(rows: DataFrame, by: list[str], value: str, position: str, o
 def event_drafts(documents: DataFrame, members: DataFrame) -> DataFrame:
     """One row per event: type, topic, title, summary, score, best tier, observed span, size.
 
-    Each field is an aggregate over the members, combined before the shuffle.
+    Each field is an aggregate over the members, combined before the shuffle. A
+    quality that is missing or not within 0 to 1 counts as 0.
     """
-    rows = members.join(documents.withColumnRenamed("id", "document_id"), "document_id")
+    usable = F.when(F.col("parse_quality").between(0, 1), F.col("parse_quality")).otherwise(0.0)
+    rows = members.join(documents.withColumn("parse_quality", usable).withColumnRenamed("id", "document_id"), "document_id")
     observed = F.coalesce("published_at", "fetched_at")
     rank = F.struct(
         trust_rank(F.col("trust_tier")).alias("tier"), (-F.coalesce("parse_quality", F.lit(0.0))).alias("quality"), (-F.coalesce(F.char_length("body"), F.lit(0))).alias("body"),

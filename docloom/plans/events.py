@@ -41,7 +41,7 @@ def event_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, members = _members(spark, sf_dir)
-    return events.event_drafts(docs.withColumn("parse_quality", F.when(F.col("parse_quality").between(0, 1), F.col("parse_quality"))), cut(members))
+    return events.event_drafts(docs, cut(members))
 
 
 def daily_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
