@@ -82,9 +82,9 @@ def _spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
         after = text[at + 1] if at + 1 < end else " "
         if mark == "’" and before.isalnum() and after.isalnum():
             continue  # an apostrophe
-        if mark in "\"＂" and not any(o == mark for o, _ in stack) and before.isdigit():
-            continue  # inches
         close = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if mark in _CLOSERS[stack[i][0]]), None)
+        if close is None and mark in "\"＂" and before.isdigit():
+            continue  # inches
         if close is not None:
             found.append((stack[close][1], at + 1))
             del stack[close:]
@@ -104,6 +104,7 @@ class _Paragraph:
         self.opens = [a for a, _ in self.spans]
         self.addresses = [(m.start(), m.end()) for m in _ADDRESS.finditer(text, start, end)]
         self.froms = [a for a, _ in self.addresses]
+        self.looked = (0, -1, "none")  # where symbols were last looked through, and what came behind them
 
     def inside(self, at: int) -> bool:
         i = bisect.bisect_right(self.opens, at) - 1
@@ -126,19 +127,25 @@ class _Paragraph:
         Symbols and pictures are looked through; a lower-case letter directly before a
         capital (as in product names) counts as upper.
         """
-        text = self.text
-        while at < self.end:
-            c = text[at]
-            if c.isdigit():
-                return "digit"
-            if c.isalpha():
-                if c.islower():
-                    return "upper" if at + 1 < self.end and text[at + 1].isupper() else "lower"
-                return "upper" if c.isupper() or c.istitle() else "other"
-            if c in _CONTINUE:
-                return "mark"
-            at += 1
-        return "none"
+        first, last, kind = self.looked
+        if not first <= at <= last:
+            last = at
+            while (kind := self._kind(last)) is None:
+                last += 1
+            self.looked = (at, last, kind)
+        return kind
+
+    def _kind(self, at: int) -> str | None:
+        if at >= self.end:
+            return "none"
+        c = self.text[at]
+        if c.isdigit():
+            return "digit"
+        if c.isalpha():
+            if c.islower():
+                return "upper" if at + 1 < self.end and self.text[at + 1].isupper() else "lower"
+            return "upper" if c.isupper() or c.istitle() else "other"
+        return "mark" if c in _CONTINUE else None
 
     def word_before(self, at: int) -> str:
         m = _WORD_BEFORE.search(self.text, max(self.start, at - 40), at)
