@@ -86,15 +86,37 @@ def _pairs(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def exact_title_edges(docs: DataFrame) -> DataFrame:
     """Equal long titles, dates within a month or unknown, no conflicting identities.
 
-    Documents that agree in title, identities and time are one class and form a star,
-    so only different classes of a title are compared.
+    The edges connect what all such pairs connect, with a few edges a row however
+    many documents share a title: rows of one identity, and rows without any, are
+    chained by time; a row with identities is linked to the nearest row without on
+    either side; rows of unknown time are centres of stars.
     """
-    long = docs.filter(F.char_length("compact") >= SHORTEST_EXACT_TITLE).withColumn("class", F.xxhash64("compact", "scope", "ids", "at"))
-    stars = _star(long.select("id", "class", "compact"), ["class", "compact"])
-    one = long.groupBy("class", "compact", "scope").agg(F.min("id").alias("id"), F.first("ids").alias("ids"), F.first("at").alias("at"))
-    pairs = _pairs(one, "compact", ["ids", "at"])
-    kept = pairs.filter(~identities_conflict(F.col("l_ids"), F.col("r_ids")) & within_days(F.col("l_at"), F.col("r_at"), EXACT_DAYS))
-    return stars.unionByName(kept.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
+    key = ["compact", "scope"]
+    long = docs.filter(F.char_length("compact") >= SHORTEST_EXACT_TITLE).select("id", *key, "ids", "at", (F.size("ids") == 0).alias("plain"))
+    timed, untimed = long.filter(F.col("at").isNotNull()), long.filter(F.col("at").isNull())
+    here = F.struct("at", "id")
+
+    def chained(rows: DataFrame, neighbours: list[Column]) -> DataFrame:
+        found = rows.select(F.col("id").alias("a"), "at", F.array(*neighbours).alias("n")).select("a", "at", F.explode("n").alias("n"))
+        return found.filter(F.col("n").isNotNull() & within_days(F.col("at"), F.col("n.at"), EXACT_DAYS)).select("a", F.col("n.id").alias("b"))
+
+    def starred(rows: DataFrame, centres: DataFrame, by: list[str]) -> DataFrame:
+        return rows.join(centres.groupBy(*by).agg(F.min("id").alias("b")), by).filter("id != b").select(F.col("id").alias("a"), "b")
+
+    back, ahead = (Window.partitionBy(*key).orderBy(*o).rowsBetween(Window.unboundedPreceding, -1) for o in (("at", "id"), (F.col("at").desc(), F.col("id").desc())))
+    nearest = [F.last(F.when(F.col("plain"), here), ignorenulls=True).over(w) for w in (back, ahead)]
+    of_identity = Window.partitionBy(*key, "identity").orderBy("at", "id")
+    named = long.withColumn("identity", F.explode("ids"))
+    edges = chained(timed, nearest)
+    for more in (
+        chained(named.filter(F.col("at").isNotNull()), [F.lag(here).over(of_identity)]),
+        starred(long, untimed.filter("plain"), key),
+        starred(named, named.filter(F.col("at").isNull()), [*key, "identity"]),
+        starred(long.filter("plain"), untimed.filter("NOT plain"), key),
+        starred(untimed.filter("NOT plain"), long.filter("plain"), key),
+    ):
+        edges = edges.unionByName(more)
+    return edges
 
 
 def exact_content_edges(docs: DataFrame) -> DataFrame:
