@@ -82,8 +82,8 @@ class Signer:
         return key.view(np.int64), np.packbits(bits).view(">i8").astype(np.int64)
 
 
-def signatures(texts: DataFrame, key: str, text: str, trees: int, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *carry, tree, sig, s0..s3) of each text, one row per tree.
+def signed(texts: DataFrame, key: str, text: str, trees: int, width: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *carry, trees, s0..s3) of each text: its strings in all trees, and its sketch.
 
     A text with fewer than ``width`` characters has no shingles and gives no rows.
     """
@@ -95,15 +95,20 @@ def signatures(texts: DataFrame, key: str, text: str, trees: int, width: int, ca
         signer = Signer(trees, width)
         for frame in frames:
             frame = frame[frame[text].str.len() >= width]
-            signed = [signer.sign(t) for t in frame[text]]
+            signs = [signer.sign(t) for t in frame[text]]
             out = frame[list(names)].copy()
-            out["trees"] = [k for k, _ in signed]
+            out["trees"] = [k for k, _ in signs]
             for i in range(4):
-                out[f"s{i}"] = np.array([s[i] for _, s in signed], np.int64)
+                out[f"s{i}"] = np.array([s[i] for _, s in signs], np.int64)
             yield out
 
-    signed = texts.select(*names, text).filter(F.col(text).isNotNull()).mapInPandas(run, schema)
-    return signed.select(*names, "s0", "s1", "s2", "s3", F.posexplode("trees").alias("tree", "sig"))
+    return texts.select(*names, text).filter(F.col(text).isNotNull()).mapInPandas(run, schema)
+
+
+def planted(signed_texts: DataFrame) -> DataFrame:
+    """One row per tree: what a run consists of. Its range sort reads its input twice, so hand it signatures that are stored."""
+    names = [c for c in signed_texts.columns if c != "trees"]
+    return signed_texts.select(*names, F.posexplode("trees").alias("tree", "sig"))
 
 
 class Forest:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import document_url_key
 from ..session import cut, shared_table
-from .forest import Forest, close_sketches, prefix_length, signatures
+from .forest import Forest, close_sketches, planted, prefix_length, signed
 
 WIDTH = 8
 TREES = 64
@@ -76,24 +76,25 @@ def similar_classes(classes: DataFrame) -> DataFrame:
     """
     spark = classes.sparkSession
     forest = Forest(spark, shared_table(spark, "forest"), TREES)
-    carry = ("settles", "later")
-    forest.add_run(signatures(classes.filter("settles"), "class", "letters", TREES, WIDTH, carry), "history")
-    forest.add_run(signatures(classes.filter("NOT settles"), "class", "letters", TREES, WIDTH, carry), "batches")
+    signs = cut(signed(classes, "class", "letters", TREES, WIDTH, ("settles", "later")))
+    forest.add_run(planted(signs.filter("settles")), "history")
+    forest.add_run(planted(signs.filter("NOT settles")), "batches")
     length = prefix_length(OVERLAP, TREES, RECALL)
-    rows = forest.rows().withColumn("bucket", F.expr(f"shiftrightunsigned(sig, {64 - 16 * length})"))
-    smallest = Window.partitionBy("tree", "bucket").orderBy("class")
+    # the range of a prefix in a tree, as one number
+    rows = forest.rows().withColumn("bucket", F.xxhash64("tree", F.expr(f"shiftrightunsigned(sig, {64 - 16 * length})"))).drop("tree", "sig")
+    smallest = Window.partitionBy("bucket").orderBy("class")
     heads = rows.withColumn("rank", F.row_number().over(smallest)).filter(F.col("rank") <= HEADS)
-    queries, same = rows.filter("later").alias("q"), ["tree", "bucket"]
+    queries, same = rows.filter("later").alias("q"), ["bucket"]
     near = cut(
         queries.join(heads.alias("h"), same)
         .filter((F.col("q.class") != F.col("h.class")) & close_sketches("q", "h", OVERLAP))
-        .select("tree", "bucket", F.col("q.class").alias("a"), F.col("h.class").alias("b"), F.col("h.settles").alias("settles"))
+        .select("bucket", F.col("q.class").alias("a"), F.col("h.class").alias("b"), F.col("h.settles").alias("settles"))
     )
     first = cut(verified(near.select("a", "b").distinct(), classes))
-    full = heads.filter(F.col("rank") == HEADS).select("tree", "bucket", F.col("class").alias("last"))
-    settled = near.filter("settles").join(first, ["a", "b"]).select("tree", "bucket", F.col("a").alias("class")).distinct()
+    full = heads.filter(F.col("rank") == HEADS).select("bucket", F.col("class").alias("last"))
+    settled = near.filter("settles").join(first, ["a", "b"]).select("bucket", F.col("a").alias("class")).distinct()
     rest = (
-        rows.filter("later").join(full, same).join(settled, ["tree", "bucket", "class"], "left_anti").alias("q")
+        rows.filter("later").join(full, same).join(settled, ["bucket", "class"], "left_anti").alias("q")
         .join(rows.alias("h"), same)
         .filter((F.col("h.class") > F.col("q.last")) & (F.col("q.class") != F.col("h.class")) & close_sketches("q", "h", OVERLAP))
         .select(F.col("q.class").alias("a"), F.col("h.class").alias("b"))

@@ -77,9 +77,9 @@ def test_signer_bounds_memory_and_estimates():
 def test_forest_runs_merge(spark, tmp_path):
     texts = spark.createDataFrame([(i, "text number %d with enough letters" % i) for i in range(20)], "k long, t string")
     trees = forest.Forest(spark, str(tmp_path / "f"), 8)
-    trees.add_run(forest.signatures(texts.filter("k < 10"), "k", "t", 8, 8), "a")
-    trees.add_run(forest.signatures(texts.filter("k >= 10"), "k", "t", 8, 8), "b")
-    trees.add_run(forest.signatures(texts.filter("k >= 10"), "k", "t", 8, 8), "b")  # again: replaced
+    trees.add_run(forest.planted(forest.signed(texts.filter("k < 10"), "k", "t", 8, 8)), "a")
+    trees.add_run(forest.planted(forest.signed(texts.filter("k >= 10"), "k", "t", 8, 8)), "b")
+    trees.add_run(forest.planted(forest.signed(texts.filter("k >= 10"), "k", "t", 8, 8)), "b")  # again: replaced
     assert trees.rows().count() == 160
     trees.merge_runs(str(tmp_path / "g"))
     assert trees.rows().count() == 160
