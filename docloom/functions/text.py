@@ -48,7 +48,7 @@ def clean_summary(text: Column, limit: int = 300, separators: tuple[str, ...] =
     The first separator, in the order given, whose last place is beyond character 50
     decides; else the cut text with an ellipsis. Null gives ''.
     """
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", ""))
+    plain = strip(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", ""))
     head = F.substring(plain, 1, limit)
     cut = F.concat(F.rtrim(head), F.lit("…"))
     for mark in reversed(separators):

@@ -113,7 +113,7 @@ SELECT id, CASE WHEN regexp_matches({_CLEAN}, '{_ABS}') THEN lower(regexp_extrac
 FROM normalized_documents""",
     "title_normalize": f"SELECT id, {FOLD.format('title')} AS folded, replace({FOLD.format('title')}, ' ', '') AS compact FROM intel_documents",
     "body_summary": f"""
-WITH d AS (SELECT id, {_SQ.format("body")} AS flat, trim(title, '{_WS}') AS t, trim(regexp_replace(coalesce(body, ''), '<[^>]+>', '', 'g'), ' ') AS plain FROM intel_documents),
+WITH d AS (SELECT id, {_SQ.format("body")} AS flat, trim(title, '{_WS}') AS t, trim(regexp_replace(coalesce(body, ''), '<[^>]+>', '', 'g'), '{_WS}') AS plain FROM intel_documents),
 h AS (SELECT *, substr(plain, 1, 120) AS head FROM d),
 p AS (SELECT *, [{", ".join(f"CASE WHEN instr(reverse(head), '{m[::-1]}') > 0 THEN length(head) - instr(reverse(head), '{m[::-1]}') - {len(m) - 1} ELSE -1 END" for m in ("。", "！", "？", ". ", "! ", "? "))}] AS places FROM h)
 SELECT id, CASE WHEN flat <> '' AND flat IS DISTINCT FROM t THEN rtrim(substr(flat, 1, 120), ' ') END AS summary,
