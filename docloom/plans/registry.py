@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedupe, events, feeds, reads, texts
+from . import dedupe, events, feeds, health, reads, texts
 
-MODULES = (feeds, texts, dedupe, events, reads)
+MODULES = (feeds, texts, dedupe, events, reads, health)
 
 
 def queries() -> dict:

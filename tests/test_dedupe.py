@@ -132,3 +132,24 @@ def test_signatures_are_deterministic(spark):
     assert "智能" in tokens and "injection" in tokens and "and" not in tokens
     assert signatures.simhash(tokens) == signatures.simhash(tokens[::-1][::-1]) and len(signatures.minhash(tokens)) == 16
     assert signatures.simhash([]) is None and signatures.minhash([]) == [] and signatures.blocking_tokens("short", "x" * 99) == []
+
+
+def test_stable_ids_are_the_greedy_assignment(spark):
+    from docloom.operators.graph import stable_ids
+
+    rng = random.Random(3)
+    new = {i: rng.randrange(12) for i in range(80)}
+    old = {i: 100 + rng.randrange(8) for i in range(70)}
+    overlap = {}
+    for i in old:
+        overlap[new[i], old[i]] = overlap.get((new[i], old[i]), 0) + 1
+    want, used = {}, set()
+    for n, f, c in sorted((-n, f, c) for (c, f), n in overlap.items()):
+        if c not in want and f not in used:
+            want[c] = f
+            used.add(f)
+    for c in sorted(set(new.values()) - set(want)):
+        want[c] = max([*old.values(), *want.values()]) + 1
+    members, former = spark.createDataFrame(list(new.items()), "node long, component long"), spark.createDataFrame(list(old.items()), "node long, former_id long")
+    assert {r.component: r.stable_id for r in stable_ids(members, former).collect()} == want
+    assert sorted(r.stable_id for r in stable_ids(members, former.limit(0)).collect()) == list(range(1, 13))
