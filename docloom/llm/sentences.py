@@ -42,7 +42,7 @@ _CONTINUE = set(",;:-–—、，；：،؛;")
 ABBREVIATIONS = {
     "en": "dr prof st mr mrs ms messrs gen col capt lt sgt rev hon gov sen rep vs cf approx e.g i.e viz resp ca",
     "de": "dr prof bzw ca vgl ggü evtl inkl exkl zzgl bspw sog ggf d.h z.b u.a i.d.r hrsg hl str",
-    "fr": "mme mlle mgr me cf env p.ex",
+    "fr": "mme mlle mgr cf env p.ex",
     "es": "sr sra srta dr dra d.ª ud uds ee avda lic ing",
     "ru": "проф акад доц др ул им см напр т.е т.н т.к тыс млн млрд гр",
     "el": "κα κος δρ καθ π.χ δηλ",
