@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,75 @@ def folded_similarity(left: str, right: str) -> float:
     return round(max(indel_ratio(left, right), ordered), 2)
 
 
+def common_lengths(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray, chunk: int = 8192) -> np.ndarray:
+    """``common_length`` of left[i] and right[j] for many pairs: the same steps over arrays of 64-bit words with carries."""
+    codes: dict[str, int] = {}
+    for text in left:
+        for c in text:
+            codes.setdefault(c, len(codes))
+    width = max(1, -(-max(map(len, left), default=1) // 64))
+    # one code more, that of characters no left text has, and of the padding: it hits nothing
+    places = np.zeros((len(left), len(codes) + 1, width), np.uint64)
+    for n, text in enumerate(left):
+        for at, c in enumerate(text):
+            places[n, codes[c], at // 64] |= np.uint64(1 << at % 64)
+    steps = np.full((len(right), max(map(len, right), default=0)), len(codes), np.int32)
+    for n, text in enumerate(right):
+        steps[n, : len(text)] = [codes.get(c, len(codes)) for c in text]
+    out = np.empty(len(i), np.int64)
+    for start in range(0, len(i), chunk):
+        a, b = i[start : start + chunk], j[start : start + chunk]
+        row = [np.full(len(a), 2**64 - 1, np.uint64) for _ in range(width)]
+        for k in range(steps.shape[1]):
+            here, carry = places[a, steps[b, k]], np.zeros(len(a), np.uint64)
+            for w in range(width):
+                hit = row[w] & here[:, w]
+                part = row[w] + hit
+                total = part + carry
+                carry = ((part < hit) | (total < part)).astype(np.uint64)
+                row[w] = total | (row[w] - hit)
+        out[start : start + chunk] = 64 * width - sum(np.bitwise_count(r).astype(np.int64) for r in row)
+    return out
+
+
+#: Counts of characters that the filter of ``similar_in`` compares: 1 per letter or digit, hashed for others.
+FOLDS = 64
+
+
+def _counts(texts: list[str]) -> np.ndarray:
+    out = np.zeros((len(texts), FOLDS), np.int16)
+    for n, text in enumerate(texts):
+        for c in text:
+            out[n, ord(c) % FOLDS] += 1
+    return out
+
+
+def similar_in(left: list[str], right: list[str], score: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of all folded titles whose ``folded_similarity`` can be ``score`` or more: none is lost.
+
+    A similarity of t leaves at most (1 - t) of both lengths outside the common
+    subsequence. The difference of the lengths and of the counts of each character
+    are lower bounds of that, in any order of the words; the rest is computed.
+    """
+    a, b = np.array([len(x) for x in left], np.int32), np.array([len(x) for x in right], np.int32)
+    # similarities are rounded to two places
+    least = (score - 0.006) / 100
+    apart = np.floor((1 - least) * (a[:, None] + b[None, :]) + 1e-9).astype(np.int16)
+    x, y = _counts(left), _counts(right)
+    seen = np.zeros(apart.shape, np.int16)
+    for k in range(FOLDS):
+        if x[:, k].any() or y[:, k].any():
+            seen += np.abs(x[:, k, None] - y[None, :, k])
+    i, j = np.nonzero((seen <= apart) & (a[:, None] > 0) & (b[None, :] > 0))
+    most = apart[i, j]
+    near = a[i] + b[j] - 2 * common_lengths(left, right, i, j) <= most
+    # word-sorted only where the plain order isn't enough
+    rest = np.nonzero(~near)[0]
+    words = [[" ".join(sorted(t.split())) for t in texts] for texts in (left, right)]
+    near[rest] = a[i[rest]] + b[j[rest]] - 2 * common_lengths(*words, i[rest], j[rest]) <= most[rest]
+    return i[near], j[near]
+
+
 @F.pandas_udf(T.StringType())
 def normalize_title(title: pd.Series) -> pd.Series:
     """``fold_title`` of each title; null gives ''."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import nfkc, normalize_title, title_similarity
+from ..functions.similarity import nfkc, normalize_title, similar_in, title_similarity
 from ..functions.text import identity_values, squeeze
 from ..functions.urls import url_key
 from .graph import connected_components
@@ -153,6 +156,39 @@ def fuzzy_title_edges(docs: DataFrame, score: float = FUZZY_SCORE) -> DataFrame:
     return cheap.filter(title_similarity("l_folded", "r_folded") >= score).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
+def similar_titles(titles: DataFrame, score: float, block: int = 1000) -> DataFrame:
+    """(a, b, similarity): all pairs of titles of at least this similarity, a < b; no key has to be shared.
+
+    ``titles`` has id and folded, different in each row. Lengths bound the similarity,
+    so only titles of the same or the next band of lengths meet. Bands are split by a
+    hash into blocks of about ``block`` titles, however many there are; a task compares two blocks
+    (``similar_in``). The comparisons grow with the square of the different titles.
+    """
+    least = (score - 0.006) / 100
+    base = math.log((2 - least) / least * 1.0001)
+    banded = titles.filter("folded != ''").select("id", "folded", F.floor(F.log(F.char_length("folded").cast("double")) / F.lit(base)).alias("band"))
+    parts = banded.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("parts"))
+    placed = banded.join(parts, "band").select("id", "folded", "band", F.pmod(F.xxhash64("folded"), F.col("parts")).alias("part"))
+    blocks = parts.select("band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    same = (F.col("l.band") == F.col("r.band")) & (F.col("l.part") <= F.col("r.part"))
+    meeting = blocks.alias("l").join(blocks.alias("r"), same | (F.col("l.band") + 1 == F.col("r.band"))).select(F.struct("l.band", "l.part").alias("x"), F.struct("r.band", "r.part").alias("y"))
+    sides = meeting.select(F.concat_ws("/", "x.band", "x.part", "y.band", "y.part").alias("pair"), F.explode(F.array(F.struct(F.lit(0).alias("side"), "x.*"), F.struct(F.lit(1).alias("side"), "y.*"))).alias("s")).select("pair", "s.*")
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+        x, y = left["folded"].tolist(), right["folded"].tolist()
+        i, j = similar_in(x, y, score) if x and y else ((), ())
+        ids = [list(side["id"]) for side in (left, right)]
+        columns = {"i": [ids[0][k] for k in i], "j": [ids[1][k] for k in j], "x": [x[k] for k in i], "y": [y[k] for k in j]}
+        return pd.DataFrame({c: pd.Series(v, dtype="object") for c, v in columns.items()})
+
+    kind = dict(titles.dtypes)["id"]
+    found = placed.join(sides, ["band", "part"]).select("pair", "side", "id", "folded").groupBy("pair").applyInPandas(compared, f"i {kind}, j {kind}, x string, y string")
+    # a block that meets itself has each pair twice, and each title with itself
+    pairs = found.filter("i != j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") < F.col("j"), F.col("x")).otherwise(F.col("y")).alias("x"), F.when(F.col("i") < F.col("j"), F.col("y")).otherwise(F.col("x")).alias("y")).dropDuplicates(["a", "b"])
+    return pairs.select("a", "b", title_similarity("x", "y").alias("similarity")).filter(F.col("similarity") >= score)
+
+
 def duplicate_edges(docs: DataFrame) -> DataFrame:
     generators = (url_edges, exact_title_edges, exact_content_edges, fuzzy_title_edges)
     found = generators[0](docs)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import title_similarity
 from ..operators import dedupe
 from ..operators.graph import connected_components, stable_ids
 from ..session import cut, table
@@ -55,15 +54,10 @@ def stable_component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_title_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar but different titles that share a bounded blocking key, one row per pair of titles."""
+    """All similar but different titles, one row per pair of titles."""
     docs = dedupe.prepared(table(spark, sf_dir, "intel_documents"))
     titles = cut(docs.filter(F.char_length("compact") >= dedupe.SHORTEST_FUZZY_TITLE).groupBy("folded").agg(F.min("id").alias("id")))
-    keyed = titles.withColumn("key", F.explode(dedupe.blocking_keys(F.col("folded"))))
-    rare = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, dedupe.BUCKET)).select("key")
-    rows = keyed.join(rare, "key")
-    pairs = rows.alias("l").join(rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")))
-    distinct = pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b"), F.col("l.folded").alias("x"), F.col("r.folded").alias("y")).dropDuplicates(["a", "b"])
-    return distinct.select("a", "b", title_similarity("x", "y").alias("similarity")).filter("similarity >= 82")
+    return dedupe.similar_titles(titles, 82)
 
 
 def title_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,3 +153,24 @@ def test_stable_ids_are_the_greedy_assignment(spark):
     members, former = spark.createDataFrame(list(new.items()), "node long, component long"), spark.createDataFrame(list(old.items()), "node long, former_id long")
     assert {r.component: r.stable_id for r in stable_ids(members, former).collect()} == want
     assert sorted(r.stable_id for r in stable_ids(members, former.limit(0)).collect()) == list(range(1, 13))
+
+
+def test_similar_titles_equal_all_pairs_and_need_no_key(spark):
+    rng = random.Random(8)
+    words = ["agent", "prompt", "injection", "ab", "智能体框架", "x", "rat", "vault", "zebra", "of", "gateway", "leak"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randrange(4, 30))) for _ in range(150)]
+    for t in titles[:100]:
+        own = t.split()
+        rng.shuffle(own)
+        changed = list(t)
+        changed[rng.randrange(len(changed))] = "q"
+        titles += [" ".join(own), "".join(changed)]
+    titles += [f"an it of to us {n} we by in" for n in ("a", "b", "c")]  # no word of four characters: no blocking key
+    titles += [f"the same long heading about model number {n}" for n in range(130)]  # every key in more than 100 titles
+    flat = sorted({fold_title(t) for t in titles})
+    want = {(i, j): folded_similarity(flat[i], flat[j]) for i in range(len(flat)) for j in range(i + 1, len(flat))}
+    df = spark.createDataFrame(list(enumerate(flat)), "id long, folded string")
+    for block in (1000, 40):
+        got = {(r.a, r.b): r.similarity for r in dedupe.similar_titles(df, 82, block).collect()}
+        assert got == {k: v for k, v in want.items() if v >= 82}
+    assert dedupe.similar_titles(df.limit(0), 82).isEmpty()
