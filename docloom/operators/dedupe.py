@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import nfkc, normalize_title, similar_in, title_similarity
+from ..functions.similarity import nfkc, normalize_title, plain_ratio, similar_in, title_similarity
 from ..functions.text import identity_values, squeeze
 from ..functions.urls import url_key
 from .graph import connected_components
@@ -16,7 +16,7 @@ from .graph import connected_components
 #: Thresholds of the matching rules.
 SHORTEST_EXACT_TITLE, SHORTEST_FUZZY_TITLE = 20, 24
 EXACT_DAYS, FUZZY_DAYS = 30, 14
-FUZZY_SCORE, CONTENT_SCORE, LENGTH_RATIO = 94.0, 80.0, 0.72
+FUZZY_SCORE, FUZZY_RATIO, CONTENT_SCORE, LENGTH_RATIO = 94.0, 88.0, 80.0, 0.72
 BUCKET = 100
 SHORTEST_CONTENT = 200
 #: Endpoints of structured vulnerability feeds are a scope of their own.
@@ -86,16 +86,15 @@ def _pairs(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return left.join(right, same).select(*both)
 
 
-def exact_title_edges(docs: DataFrame) -> DataFrame:
-    """Equal long titles, dates within a month or unknown, no conflicting identities.
+def _linked(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Edges that connect what all pairs of a key connect whose dates are within a month or unknown and whose identities don't conflict.
 
-    The edges connect what all such pairs connect, with a few edges a row however
-    many documents share a title: rows of one identity, and rows without any, are
-    chained by time; a row with identities is linked to the nearest row without on
-    either side; rows of unknown time are centres of stars.
+    ``rows`` has id, the key, ids and at. A few edges a row, however many share a key:
+    rows of one identity, and rows without any, are chained by time; a row with
+    identities is linked to the nearest row without on either side; rows of unknown
+    time are centres of stars.
     """
-    key = ["compact", "scope"]
-    long = docs.filter(F.char_length("compact") >= SHORTEST_EXACT_TITLE).select("id", *key, "ids", "at", (F.size("ids") == 0).alias("plain"))
+    long = rows.select("id", *key, "ids", "at", (F.size("ids") == 0).alias("plain"))
     timed, untimed = long.filter(F.col("at").isNotNull()), long.filter(F.col("at").isNull())
     here = F.struct("at", "id")
 
@@ -122,14 +121,30 @@ def exact_title_edges(docs: DataFrame) -> DataFrame:
     return edges
 
 
+def exact_title_edges(docs: DataFrame) -> DataFrame:
+    """Equal long titles, dates within a month or unknown, no conflicting identities."""
+    return _linked(docs.filter(F.char_length("compact") >= SHORTEST_EXACT_TITLE), ["compact", "scope"])
+
+
 def exact_content_edges(docs: DataFrame) -> DataFrame:
-    """Equal long bodies whose titles are similar too; equal titles of one body are a star."""
-    long = docs.filter(F.col("content").isNotNull()).withColumn("class", F.xxhash64("content", "scope", "ids", "folded"))
-    stars = _star(long.select("id", "class", "content"), ["class", "content"])
+    """Equal long bodies whose titles are similar too, dates within a month or unknown, no conflicting identities.
+
+    Documents of one body, title and identities are a class. Within one, and between
+    two similar ones, each document is linked to the last one before it; those of unknown time are centres of stars.
+    """
+    long = docs.filter(F.col("content").isNotNull()).withColumn("class", F.struct("content", "scope", "ids", "folded"))
     one = long.groupBy("class", "content", "scope").agg(F.min("id").alias("id"), F.first("ids").alias("ids"), F.first("folded").alias("folded"))
-    pairs = _pairs(one, "content", ["ids", "folded"])
+    pairs = _pairs(one, "content", ["ids", "folded", "class"])
     kept = pairs.filter(~identities_conflict(F.col("l_ids"), F.col("r_ids"))).filter(title_similarity("l_folded", "r_folded") >= CONTENT_SCORE)
-    return stars.unionByName(kept.select(F.col("l_id").alias("a"), F.col("r_id").alias("b")))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("l_class").alias("class")), F.struct(F.lit(1).alias("side"), F.col("r_class").alias("class")))
+    met = kept.select("l_id", "r_id", F.explode(sides).alias("s")).select("l_id", "r_id", "s.*").join(long.select("class", "id", "at"), "class").drop("class")
+    before = Window.partitionBy("l_id", "r_id").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    other = [F.last(F.when(F.col("side") == s, F.struct("at", "id")), ignorenulls=True).over(before) for s in (1, 0)]
+    timed = met.filter(F.col("at").isNotNull()).withColumn("n", F.when(F.col("side") == 0, other[0]).otherwise(other[1]))
+    edges = timed.filter(F.col("n").isNotNull() & within_days(F.col("at"), F.col("n.at"), EXACT_DAYS)).select(F.col("id").alias("a"), F.col("n.id").alias("b"))
+    centres = met.filter(F.col("at").isNull()).groupBy("l_id", "r_id", (1 - F.col("side")).alias("side")).agg(F.min("id").alias("b"))
+    stars = met.join(centres, ["l_id", "r_id", "side"]).select(F.col("id").alias("a"), "b")
+    return _linked(long, ["class"]).unionByName(edges).unionByName(stars)
 
 
 def blocking_keys(folded: Column) -> Column:
@@ -153,7 +168,8 @@ def fuzzy_title_edges(docs: DataFrame, score: float = FUZZY_SCORE) -> DataFrame:
     pairs = _pairs(keyed.join(rare, "key").select("id", "scope", "key", "folded", "ids", "at"), "key", ["folded", "ids", "at"]).dropDuplicates(["l_id", "r_id"])
     shorter, longer = F.least(F.char_length("l_folded"), F.char_length("r_folded")), F.greatest(F.char_length("l_folded"), F.char_length("r_folded"))
     cheap = pairs.filter(within_days(F.col("l_at"), F.col("r_at"), FUZZY_DAYS, both_known=True) & ~identities_conflict(F.col("l_ids"), F.col("r_ids")) & (shorter >= longer * LENGTH_RATIO))
-    return cheap.filter(title_similarity("l_folded", "r_folded") >= score).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
+    alike = (title_similarity("l_folded", "r_folded") >= score) & (plain_ratio("l_folded", "r_folded") >= FUZZY_RATIO)
+    return cheap.filter(alike).select(F.col("l_id").alias("a"), F.col("r_id").alias("b"))
 
 
 def similar_titles(titles: DataFrame, score: float, block: int = 1000) -> DataFrame:
@@ -251,6 +267,25 @@ def candidate_pairs(signed: DataFrame, days: int = 30, bucket: int = BUCKET) ->
     )
 
 
+def exact_pairs(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): pairs of equal address, long folded title or content, whatever their times, a < b.
+
+    ``docs`` is as ``prepared`` gives it. Up to ``bucket`` documents of a value give
+    all their pairs; more of them give the edges that connect all that can merge, a
+    few a row, so that no document of a large group is left without candidates.
+    """
+    long_title = F.when(F.char_length(F.replace("folded", F.lit(" "), F.lit(""))) >= SHORTEST_EXACT_TITLE, F.col("folded"))
+    keys = {"url": F.nullif("url", F.lit("")), "title": long_title, "content": F.col("content")}
+    values = F.array(*(F.struct(F.lit(k).alias("kind"), F.sha2(v, 256).alias("value")) for k, v in keys.items()))
+    rows = docs.select("id", "ids", "at", F.explode(values).alias("v")).select("id", "ids", "at", "v.*").filter("value IS NOT NULL")
+    sizes = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    grouped = rows.join(sizes, ["kind", "value"])
+    few = grouped.filter(F.col("n") <= bucket)
+    pairs = few.alias("l").join(few.alias("r"), ["kind", "value"]).filter("l.id < r.id").select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    many = _linked(grouped.filter(F.col("n") > bucket), ["kind", "value"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.unionByName(many).distinct()
+
+
 def assess(pairs: DataFrame) -> DataFrame:
     """decision, reason and score of candidate pairs, by rules tried one after the other.
 

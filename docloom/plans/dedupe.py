@@ -57,9 +57,11 @@ def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assessed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     signed = _signed(spark, sf_dir)
-    keys = dedupe.prepared(_docs(spark, sf_dir)).select("id", "at", "url", "folded", "content", "ids").join(signed.select("id", "simhash", "minhash"), "id")
+    docs = cut(dedupe.prepared(_docs(spark, sf_dir)).select("id", "at", "url", "folded", "content", "ids"))
+    keys = docs.join(signed.select("id", "simhash", "minhash"), "id")
     side = lambda p, k: keys.select(F.col("id").alias(k), *(F.col(c).alias(f"{p}_{c}") for c in ("at", "url", "folded", "content", "ids", "simhash", "minhash")))
-    pairs = dedupe.candidate_pairs(signed).join(side("l", "a"), "a").join(side("r", "b"), "b")
+    candidates = dedupe.candidate_pairs(signed).select("a", "b").unionByName(dedupe.exact_pairs(docs)).distinct()
+    pairs = candidates.join(side("l", "a"), "a").join(side("r", "b"), "b")
     pairs = pairs.withColumn("distance", signatures.simhash_distance(F.col("l_simhash"), F.col("r_simhash"))).withColumn("minhash", signatures.minhash_similarity(F.col("l_minhash"), F.col("r_minhash")))
     return dedupe.assess(pairs)
 

@@ -174,3 +174,40 @@ def test_similar_titles_equal_all_pairs_and_need_no_key(spark):
         got = {(r.a, r.b): r.similarity for r in dedupe.similar_titles(df, 82, block).collect()}
         assert got == {k: v for k, v in want.items() if v >= 82}
     assert dedupe.similar_titles(df.limit(0), 82).isEmpty()
+
+
+def test_content_edges_equal_all_pairs(spark):
+    rng = random.Random(6)
+    body = ["word " * 60, "other " * 60]
+    heads = ["Some other heading here", "Some other heading hero", "Nothing alike at all", "Some other heading her"]
+    rows = []
+    for i in range(90):
+        ids = rng.choice([{}, {}, {"cve": ["CVE-2026-1111"]}, {"cve": ["CVE-2026-2222"]}])
+        at = rng.choice([None, *[T0 + timedelta(days=rng.randrange(0, 900))] * 30])
+        rows.append(doc(i, rng.choice(heads), body=rng.choice(body), ids=ids, at=at))
+    docs = dedupe.prepared(spark.createDataFrame(rows, DOC))
+    flat = docs.select("id", "content", "folded", "ids", "at").collect()
+    edges = []
+    for a in flat:
+        for b in flat:
+            near = a["at"] is None or b["at"] is None or abs(a["at"] - b["at"]) <= timedelta(days=30)
+            alike = folded_similarity(a.folded, b.folded) >= 80
+            if a.id < b.id and a.content == b.content and near and alike and not (a.ids and b.ids and not set(a.ids) & set(b.ids)):
+                edges.append((a.id, b.id))
+    want = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(connected_components(dedupe.exact_content_edges(docs)).collect()) == sorted(want)
+
+
+def test_fuzzy_titles_need_their_plain_ratio(spark):
+    left, right = "alpha bravo charlie delta echo foxtrot", "foxtrot echo delta charlie bravo alpha"
+    docs = dedupe.prepared(spark.createDataFrame([doc(1, left), doc(2, right), doc(3, left + "s")], DOC))
+    assert [tuple(r) for r in dedupe.fuzzy_title_edges(docs).collect()] == [(3, 1)]
+
+
+def test_exact_pairs_need_no_shared_token(spark):
+    rows = [doc(1, "One two three four five six", at=T0), doc(2, "ONE, two three four five six", at=T0 + timedelta(days=90)), doc(3, "Else", url="https://example.com/1/")]
+    rows += [doc(100 + i, "The same title in many rows", at=T0 + timedelta(days=i)) for i in range(130)]
+    docs = dedupe.prepared(spark.createDataFrame(rows, DOC))
+    got = {tuple(r) for r in dedupe.exact_pairs(docs).collect()}
+    assert {p for p in got if p[0] < 100} == {(1, 2), (1, 3)}
+    assert {(100 + i, 101 + i) for i in range(129)} <= got and len(got) < 1000
