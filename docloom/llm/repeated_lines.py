@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,15 +87,15 @@ def without_repeated_lines(documents: DataFrame, min_documents: int = 4, min_sha
     )
 
 
-def frequent_sequences(documents: DataFrame, max_length: int = 3, min_documents: int = 4, min_share: float = 0.08) -> DataFrame:
+def frequent_sequences(documents: DataFrame, max_length: int | None = None, min_documents: int = 4, min_share: float = 0.08) -> DataFrame:
     """(endpoint_id, pattern array<long>, length, documents): PrefixSpan, one level a round.
 
     Patterns are ordered sequences of line ids, gaps allowed. Only frequent lines can
     extend a frequent pattern, so the sequence database is first reduced to them. The
     projected database of a level holds, per pattern and document, the position of the
     earliest end of the pattern; each document extends it by its different later lines
-    (short arrays) and supports are combined before the shuffle. ``max_length`` bounds
-    the length of the reported patterns, not the documents that are read.
+    (short arrays) and supports are combined before the shuffle. Levels are mined until
+    one is empty; ``max_length`` ends earlier where only shorter patterns are wanted.
     """
     lines = line_ids(documents)
     frequent = cut(frequent_lines(lines, min_documents, min_share))
@@ -103,7 +105,7 @@ def frequent_sequences(documents: DataFrame, max_length: int = 3, min_documents:
     # a projection: the pattern and what follows its earliest end
     grown = reduced.select("endpoint_id", F.array().cast("array<bigint>").alias("pattern"), F.col("lines").alias("rest"))
     levels = [found]
-    for length in range(1, max_length + 1):
+    for length in count(1) if max_length is None else range(1, max_length + 1):
         grown = grown.select("endpoint_id", "pattern", "rest", F.explode(F.array_distinct("rest")).alias("line")).select(
             "endpoint_id",
             F.concat("pattern", F.array("line")).alias("pattern"),
@@ -114,9 +116,13 @@ def frequent_sequences(documents: DataFrame, max_length: int = 3, min_documents:
         counts = grown.groupBy("endpoint_id", "pattern").agg(F.count(F.lit(1)).alias("documents"))
         same = F.col("c.endpoint_id").eqNullSafe(F.col("n.endpoint_id"))
         level = cut(counts.alias("c").join(needed.alias("n"), same).filter("documents >= needed").select("c.endpoint_id", "pattern", F.lit(length).alias("length"), "documents"))
+        if level.isEmpty():
+            break
         levels.append(level)
         keep = level.select(F.col("endpoint_id").alias("e"), F.col("pattern").alias("p"))
         grown = grown.join(keep, F.col("endpoint_id").eqNullSafe(F.col("e")) & (F.col("pattern") == F.col("p")), "left_semi")
+        if length % 4 == 0:
+            grown = cut(grown)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -97,3 +97,11 @@ def test_eight_percent_counts_documents_with_bodies(spark):
     assert {r.document_id for r in repeated_lines.repeated_lines(df).collect()} == {100, 101, 102, 103}  # 4 of 50
     more = df.unionByName(spark.createDataFrame([(300, "e", "one more")], df.schema))
     assert repeated_lines.repeated_lines(more).isEmpty()  # 4 of 51
+
+
+def test_sequences_are_mined_to_their_full_length(spark):
+    rows = [(i, "e", page(f"own {'x' * (i + 1)}", "one", "two", f"gap {'y' * (i + 1)}", "three", "four", "five")) for i in range(6)]
+    df = spark.createDataFrame(rows, "id long, endpoint_id string, body_text string")
+    lengths = [r.length for r in repeated_lines.frequent_sequences(df).collect()]
+    assert {n: lengths.count(n) for n in lengths} == {1: 5, 2: 10, 3: 10, 4: 5, 5: 1}
+    assert repeated_lines.frequent_sequences(df.limit(0)).isEmpty()
