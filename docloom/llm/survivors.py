@@ -60,59 +60,77 @@ def best_representatives(documents: DataFrame) -> DataFrame:
     )
 
 
+def _acyclic(edges: list) -> tuple[list, dict]:
+    """The edges that close no cycle with stronger ones before them, and what each value precedes, directly or not."""
+    kept, after = [], {}
+    for e in edges:
+        above = {e.later} | after.get(e.later, set())
+        if e.earlier in above:
+            continue
+        kept.append(e)
+        for value in [e.earlier, *(v for v, later in after.items() if e.earlier in later)]:
+            after.setdefault(value, set()).update(above)
+    return kept, after
+
+
 def learn_precedence(rows: DataFrame, min_support: int = 3) -> DataFrame:
-    """(earlier, later): which value of an attribute replaces which, learned from timestamped rows.
+    """(earlier, later, margin, support): which value of an attribute replaces which, learned from timestamped rows.
 
     ``rows`` has group_key, value, time (null where missing). A group's values are
     put in the order they first appear in; each step counts as one transition. a
     precedes b if a->b was seen at least ``min_support`` times and more often than
-    b->a, and b is also reached by a larger share of all its transitions than a:
-    the last condition makes the relation free of cycles.
+    b->a. Of each cycle only the weakest edge is left out: edges are taken by falling
+    margin over the opposite, then support. The edges between the different values of
+    an attribute, a small vocabulary, are looked at by the driver.
     """
     timed = rows.filter(F.col("value").isNotNull() & F.col("time").isNotNull())
     first = timed.groupBy("group_key", "value").agg(F.min("time").alias("first"))
     step = Window.partitionBy("group_key").orderBy("first", "value")
     steps = first.withColumn("earlier", F.lag("value").over(step)).filter("earlier IS NOT NULL").groupBy("earlier", F.col("value").alias("later")).agg(F.count(F.lit(1)).alias("n"))
-    shares = (
-        steps.select(F.explode(F.array(F.struct(F.col("earlier").alias("value"), F.lit(0).alias("into"), "n"), F.struct(F.col("later").alias("value"), F.lit(1).alias("into"), "n"))).alias("x"))
-        .groupBy("x.value")
-        .agg((F.sum(F.col("x.into") * F.col("x.n")) / F.sum("x.n")).alias("share"))
-    )
     back = steps.select(F.col("later").alias("earlier"), F.col("earlier").alias("later"), F.col("n").alias("against"))
-    return (
+    majority = (
         steps.join(back, ["earlier", "later"], "left")
-        .filter((F.col("n") >= min_support) & (F.col("n") > F.coalesce("against", F.lit(0))))
-        .join(shares.select(F.col("value").alias("earlier"), F.col("share").alias("share_a")), "earlier")
-        .join(shares.select(F.col("value").alias("later"), F.col("share").alias("share_b")), "later")
-        .filter("share_a < share_b")
-        .select("earlier", "later", F.col("share_b").alias("share"))
+        .withColumn("margin", F.col("n") - F.coalesce("against", F.lit(0)))
+        .filter((F.col("n") >= min_support) & (F.col("margin") > 0))
+        .select("earlier", "later", "margin", F.col("n").alias("support"))
     )
+    kept, _ = _acyclic(sorted(majority.collect(), key=lambda e: (-e.margin, -e.support, e.earlier, e.later)))
+    return rows.sparkSession.createDataFrame(kept, majority.schema)
 
 
 def current_values(rows: DataFrame, precedence: DataFrame | None = None) -> DataFrame:
     """(group_key, value, by): the most current value of an attribute in each group.
 
     The partial order of a group's values comes from the times of its rows where
-    they have some, and from the learned precedence where they don't. Of the timed
-    values the latest stands (``by`` = time). A value seen only without a time
-    takes its place if the precedence says that it replaces the standing one, the
-    topologically latest first (``by`` = precedence). Groups without a single time
-    take the value that the precedence reaches last, unknown values by their order.
-    Null values don't count; a group with nothing else gives no row.
+    they have some, and from the learned precedence, followed through any number of
+    values, where they don't. Of the timed values the latest stands (``by`` = time).
+    A value seen only without a time takes its place if the precedence leads from the
+    standing one to it, the topologically latest first (``by`` = precedence). Groups
+    without a single time take the value that the precedence reaches last, unknown
+    values by their order. Null values don't count; a group with nothing else gives
+    no row. ``precedence`` has earlier and later, without cycles.
     """
     known = rows.filter(F.col("group_key").isNotNull() & F.col("value").isNotNull())
     order = precedence if precedence is not None else learn_precedence(known)
+    _, after = _acyclic(order.select("earlier", "later").collect())
+    before: dict = {}
+    for a, later in after.items():
+        for b in later:
+            before.setdefault(b, set()).add(a)
+    # a value has more values before it than each of those before it: their number is a topological order
+    kind = order.schema["later"].dataType.simpleString()
+    place = rows.sparkSession.createDataFrame([(v, len(x)) for v, x in before.items()], f"value {kind}, place int")
+    closed = rows.sparkSession.createDataFrame([(a, b, True) for a, later in after.items() for b in later], f"timed {kind}, value {kind}, replaces boolean")
     values = known.groupBy("group_key", "value").agg(F.max("time").alias("last"))
     standing_value = values.groupBy("group_key").agg(F.max(F.when(F.col("last").isNotNull(), F.struct("last", "value")))["value"].alias("timed"))
-    reach = order.groupBy(F.col("later").alias("value")).agg(F.max("share").alias("share"))
     untimed = (
         values.filter(F.col("last").isNull())
         .join(standing_value, "group_key")
-        .join(reach, "value", "left")
-        .join(order.select(F.col("earlier").alias("timed"), F.col("later").alias("value"), F.lit(True).alias("replaces")), ["timed", "value"], "left")
+        .join(place, "value", "left")
+        .join(closed, ["timed", "value"], "left")
         .filter(F.col("timed").isNull() | F.col("replaces"))
         .groupBy("group_key")
-        .agg(F.max(F.struct(F.coalesce("share", F.lit(0.0)), "value"))["value"].alias("untimed"))
+        .agg(F.max(F.struct(F.coalesce("place", F.lit(0)), "value"))["value"].alias("untimed"))
     )
     return (
         standing_value.join(untimed, "group_key", "left")

@@ -105,3 +105,17 @@ def test_sequences_are_mined_to_their_full_length(spark):
     lengths = [r.length for r in repeated_lines.frequent_sequences(df).collect()]
     assert {n: lengths.count(n) for n in lengths} == {1: 5, 2: 10, 3: 10, 4: 5, 5: 1}
     assert repeated_lines.frequent_sequences(df.limit(0)).isEmpty()
+
+
+def test_precedence_is_transitive_and_loses_only_the_weakest_edge_of_a_cycle(spark):
+    seen = {("a", "b"): 5, ("b", "c"): 4, ("c", "a"): 3, ("c", "d"): 6, ("d", "c"): 5}
+    rows, g = [], 0
+    for (x, y), n in seen.items():
+        for _ in range(n):
+            rows += [(g, x, datetime(2025, 1, 1)), (g, y, datetime(2025, 1, 2))]
+            g += 1
+    rows += [(100, "a", DAY), (100, "c", None), (101, "a", DAY), (101, "d", None), (101, "b", None), (102, "c", DAY), (102, "a", None), (103, "d", None), (103, "b", None)]
+    df = spark.createDataFrame(rows, "group_key long, value string, time timestamp")
+    assert {(r.earlier, r.later) for r in survivors.learn_precedence(df).collect()} == {("a", "b"), ("b", "c"), ("c", "d")}
+    got = {r.group_key: (r.value, r.by) for r in survivors.current_values(df).collect() if r.group_key >= 100}
+    assert got == {100: ("c", "precedence"), 101: ("d", "precedence"), 102: ("c", "time"), 103: ("d", "precedence")}
