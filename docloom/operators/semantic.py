@@ -23,6 +23,19 @@ def shared_entity_pairs(mentions: DataFrame, bucket: int = 100) -> DataFrame:
     return pairs.groupBy(F.col("l.atomic_id").alias("left_id"), F.col("r.atomic_id").alias("right_id")).agg(F.min("entity").alias("shared"))
 
 
+def shared_entity_classes(mentions: DataFrame) -> DataFrame:
+    """(entity, document_id, representative, atomic_id): the events of each document that mention an entity of several.
+
+    Two events are a pair if they have a row of one entity and different documents:
+    all pairs without any window, in as many rows as there are mentions. Counts and
+    minima are combined before the shuffle.
+    """
+    distinct = mentions.filter("entity IS NOT NULL AND document_id IS NOT NULL").select("atomic_id", "document_id", "entity").distinct()
+    classes = distinct.groupBy("entity", "document_id").agg(F.min("atomic_id").alias("representative"))
+    several = classes.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("entity")
+    return distinct.join(classes, ["entity", "document_id"]).join(several, "entity").select("entity", "document_id", "representative", "atomic_id")
+
+
 def adjudicate(pairs: DataFrame, days: int = 30) -> DataFrame:
     """decision, confidence and reason of pairs of atomic events, by rules in order.
 

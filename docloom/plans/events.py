@@ -83,10 +83,17 @@ def as_of_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.as_of_join(left, right, ["user_id"], "ts", "ts", ["value"])
 
 
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select(F.col("id").alias("atomic_id"), F.coalesce("dedupe_component_id", -F.col("id")).alias("document_id"), F.col("title").alias("entity"))
+
+
 def entity_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    mentions = docs.select(F.col("id").alias("atomic_id"), F.coalesce("dedupe_component_id", -F.col("id")).alias("document_id"), F.col("title").alias("entity"))
-    return semantic.shared_entity_pairs(mentions)
+    return semantic.shared_entity_pairs(_mentions(spark, sf_dir))
+
+
+def entity_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates without the window, as classes and their members."""
+    return semantic.shared_entity_classes(_mentions(spark, sf_dir))
 
 
 def relation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +137,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         strong_event_keys, event_memberships, event_drafts, daily_snapshot, mode_event_type, reconcile_batches, version_diff, revisions, snapshot_as_of,
-        as_of_join, entity_candidates, relation_verdicts, claim_merge, claim_conflicts, cosine_topk, vector_recall_window,
+        as_of_join, entity_candidates, entity_classes, relation_verdicts, claim_merge, claim_conflicts, cosine_topk, vector_recall_window,
     )
 }
 
@@ -200,6 +207,10 @@ SELECT document_id, dedupe_version, deduped_at FROM r WHERE n = 1""",
 SELECT e.event_id, e.user_id, e.ts, c.value FROM (SELECT * FROM events WHERE event_type = 'error') e
 ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON e.user_id = c.user_id AND e.ts >= c.ts""",
     "entity_candidates": f"WITH {_PAIRS} SELECT * FROM pairs",
+    "entity_classes": """
+WITH m AS (SELECT DISTINCT id AS atomic_id, coalesce(dedupe_component_id, -id) AS document_id, title AS entity FROM intel_documents WHERE title IS NOT NULL)
+SELECT entity, document_id, min(atomic_id) OVER (PARTITION BY entity, document_id) AS representative, atomic_id FROM m
+WHERE entity IN (SELECT entity FROM m GROUP BY entity HAVING count(DISTINCT document_id) > 1)""",
     "relation_verdicts": f"""
 WITH {_PAIRS}
 SELECT left_id, right_id, CASE WHEN coalesce(l.event_type, '') = coalesce(r.event_type, '') THEN 'same_event' WHEN near THEN 'related_event' ELSE 'different_event' END AS decision,
