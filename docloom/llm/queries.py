@@ -57,9 +57,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"))
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    sizes = cut(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"]))
-    return mix(sizes, table(spark, sf_dir, "mix_targets"))
+def _mixture(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The mixture that keeps all shares, or with as many tokens as the target sources have."""
+    sizes, targets = cut(token_counts(table(spark, sf_dir, "documents"), ["doc_id", "source"])), table(spark, sf_dir, "mix_targets")
+    budget = None
+    if whole:
+        wanted = targets.filter("target_share > 0 AND max_repeats >= 1").select("source")
+        budget = sizes.filter("tokens > 0").join(wanted, "source", "left_semi").agg(F.coalesce(F.sum("tokens"), F.lit(0))).head()[0]
+    return mix(sizes, targets, budget)
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +75,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_whole_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir, whole=True)[0]
+
+
+def p9_whole_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir, whole=True)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"))
 
@@ -86,6 +99,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_whole_mix": p9_whole_mix,
+    "p9_whole_shares": p9_whole_shares,
     "p10_found": p10_found,
 }
 

@@ -179,3 +179,16 @@ def test_mixture_of_nothing(spark):
 def test_library_file_is_the_same_vocabulary():
     vocab = json.load(open(JSON))["model"]["vocab"]
     assert len(vocab) == len(tokens.vocabulary().ids)
+
+
+def test_registered_mixture_of_all_tokens_reports_shares_below_target(spark, tmp_path):
+    from docloom.llm import queries
+
+    rows = [(i, "some words of one document " * 5, "large") for i in range(60)] + [(100, "one short text", "tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets(spark, ("large", 0.5, 2), ("tiny", 0.5, 3)).write.parquet(f"{tmp_path}/mix_targets.parquet")
+    assert queries.QUERIES["p9_mix"](spark, str(tmp_path)).filter("source = 'large'").count() < 3
+    shares = {r.source: r for r in queries.QUERIES["p9_whole_shares"](spark, str(tmp_path)).collect()}
+    assert shares["tiny"].uses == 3 and 0 < shares["tiny"].share < 0.05
+    assert shares["large"].documents == 60 or shares["large"].documents == 59
+    assert queries.QUERIES["p9_whole_mix"](spark, str(tmp_path)).count() >= 60
