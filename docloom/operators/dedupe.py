@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import nfkc, normalize_title, plain_ratio, similar_in, title_similarity
 from ..functions.text import identity_values, squeeze
 from ..functions.urls import url_key
+from ..session import cut
 from .graph import connected_components
 
 #: Thresholds of the matching rules.
@@ -207,9 +208,10 @@ def similar_titles(titles: DataFrame, score: float, block: int = 1000) -> DataFr
 
 def duplicate_edges(docs: DataFrame) -> DataFrame:
     generators = (url_edges, exact_title_edges, exact_content_edges, fuzzy_title_edges)
-    found = generators[0](docs)
+    # one plan of all generators would be too large for the driver
+    found = cut(generators[0](docs).distinct())
     for generator in generators[1:]:
-        found = found.unionByName(generator(docs))
+        found = found.unionByName(cut(generator(docs).distinct()))
     return found.distinct()
 
 
@@ -220,7 +222,7 @@ def deduplicate(documents: DataFrame, scope: Column | None = None, approved: Dat
     quality, body length, title length and smallest id. The kind says how a document
     compares with its master. ``approved`` (a, b) adds reviewed pairs within a scope.
     """
-    docs = prepared(documents, scope)
+    docs = cut(prepared(documents, scope))
     edges = duplicate_edges(docs)
     if approved is not None:
         edges = edges.unionByName(approved.select("a", "b"))
