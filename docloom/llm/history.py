@@ -1,165 +1,335 @@
-"""Deduplicating new batches against everything accepted before."""
+"""Deduplicating new batches against everything accepted before: a persisted prefix-tree hash forest."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import document_url_key
+from ..operators.graph import connected_components
 from ..session import cut, shared_table
-from .forest import Forest, close_sketches, planted, prefix_length, signed
+from ..sources.runs import BucketedRuns, look_up
+from .forest import close_sketches, distinct_runs, planted, prefix_length, signed, within_prefix
 
 WIDTH = 8
 TREES = 64
 OVERLAP = 0.5
 RECALL = 0.98
 LEAST = 200
-HEADS = 64
+#: How many rows of a range are compared first; the others follow where these decide nothing.
+HEADS = 16
+#: Rounds in which all documents are decided at once; what long chains leave is walked through in order.
+ROUNDS = 6
 
 
 def comparable(documents: DataFrame) -> DataFrame:
-    """(id, batch_no, url, letters, text_key): what two documents are compared by.
+    """(id, place, letters, text, url): what two documents are compared by.
 
-    letters is the lower-cased body's letters and digits, null below LEAST of them.
+    place orders documents by batch_no, then id. letters is the lower-cased body's
+    letters and digits, null below LEAST of them. text and url are the hubs where
+    documents of equal letters and of equal URLs meet.
     """
     letters = F.regexp_replace(F.lower("body_text"), r"[^\p{L}\p{N}]+", "")
-    return documents.select("id", "batch_no", document_url_key(F.col("canonical_url")).alias("url"), F.when(F.char_length(letters) >= LEAST, letters).alias("letters")).withColumn(
-        "text_key", F.md5("letters")
+    rows = documents.select(
+        "id",
+        F.struct(F.coalesce("batch_no", F.lit(0)).alias("batch_no"), "id").alias("place"),
+        F.when(F.char_length(letters) >= LEAST, letters).alias("letters"),
+        F.md5(document_url_key(F.col("canonical_url"))).alias("url"),
     )
+    return rows.select("id", "place", "letters", F.concat(F.lit("t"), F.md5("letters")).alias("text"), F.concat(F.lit("u"), "url").alias("url"))
 
 
-def text_classes(documents: DataFrame) -> DataFrame:
-    """One row per different text: class (its smallest id), letters, settles, later.
+def hubs_of(docs: DataFrame) -> DataFrame:
+    """(id, place, hub): every document under its hubs."""
+    return docs.select("id", "place", F.explode(F.array_compact(F.array("text", "url"))).alias("hub"))
 
-    settles: its smallest id is of batch 0, and so accepted; later: it has a member in a later batch.
-    """
-    texts = documents.filter("text_key IS NOT NULL")
-    first = texts.withColumn("n", F.row_number().over(Window.partitionBy("text_key").orderBy("id"))).filter("n = 1")
-    later = texts.groupBy("text_key").agg(F.max(F.col("batch_no") > 0).alias("later"))
-    return first.join(later, "text_key").select("text_key", F.col("id").alias("class"), "letters", (F.col("batch_no") == 0).alias("settles"), "later")
+
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(text, class, letters): each different text once, under its smallest id."""
+    first = Window.partitionBy("text").orderBy("id")
+    return docs.filter("text IS NOT NULL").withColumn("n", F.row_number().over(first)).filter("n = 1").select("text", F.col("id").alias("class"), "letters")
 
 
-def verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose distinct shingles overlap by OVERLAP or more, exactly."""
+def verified(pairs: DataFrame, left: DataFrame, right: DataFrame | list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) whose distinct runs of WIDTH characters overlap by OVERLAP or more.
+
+    The whole texts are compared, run by run (as 64-bit hashes). ``left`` and ``right``
+    have class and letters; ``right`` may be the runs of a table.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def shingles(t: str) -> set[str]:
-            return {t[i : i + WIDTH] for i in range(len(t) - WIDTH + 1)}
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def runs_of(key: int, text: str) -> np.ndarray:
+            nonlocal size
+            if key not in held:
+                if size > 1 << 22:
+                    held.clear()
+                    size = 0
+                held[key] = distinct_runs(text, WIDTH)
+                size += len(held[key])
+            return held[key]
 
         for frame in frames:
-            keep, last, left = [], None, set()
-            for a, ta, tb in zip(frame.a, frame.ta, frame.tb):
-                if a != last:
-                    last, left = a, shingles(ta)
-                right = shingles(tb)
-                common = len(left & right)
-                keep.append(common >= OVERLAP * (len(left) + len(right) - common))
+            keep = []
+            for a, b, ta, tb in zip(frame.a, frame.b, frame.ta, frame.tb):
+                x, y = runs_of(a, ta), runs_of(b, tb)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= OVERLAP * (len(x) + len(y) - common))
             yield frame.loc[keep, ["a", "b"]]
 
-    texts = classes.select("class", "letters")
-    joined = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    # few pairs take long to compare: spread them whatever their bytes
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    named = pairs.repartition(parts, "b").join(left.select(F.col("class").alias("a"), F.col("letters").alias("ta")), "a")
+    columns = [F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.col("w.ta").alias("ta"), F.col("r.letters").alias("tb")]
+    joined = look_up(named.withColumn("class", F.col("b")), right if isinstance(right, list) else [right], "class", columns)
     return joined.mapInPandas(run, "a bigint, b bigint")
 
 
-def similar_classes(classes: DataFrame) -> DataFrame:
-    """(a, b), both ways: pairs of similar texts, a with members in later batches.
+class History:
+    """All accepted documents, under one path of the shared folder; later sessions open it by that path.
 
-    In each bucket (the range of one prefix in one tree) every class is first compared
-    with the bucket's HEADS smallest classes: as many comparisons as rows. A class
-    whose text matches a head that settles needs no more in that bucket, since the
-    smallest accepted id of the bucket is found; so a bucket with a third of all
-    texts, all alike, costs no all-pairs comparison. Only what no head settled is
-    compared with the rest of its bucket.
+    Three tables of sorted runs: the forest (the signature of each different text in
+    every tree), the texts themselves, and the hubs with the smallest id accepted in
+    each. A batch signs its own texts only and looks them up; what it accepts is
+    appended as a run.
     """
-    spark = classes.sparkSession
-    forest = Forest(spark, shared_table(spark, "forest"), TREES)
-    signs = cut(signed(classes, "class", "letters", TREES, WIDTH, ("settles", "later")))
-    forest.add_run(planted(signs.filter("settles")), "history")
-    forest.add_run(planted(signs.filter("NOT settles")), "batches")
-    length = prefix_length(OVERLAP, TREES, RECALL)
-    # the range of a prefix in a tree, as one number
-    rows = forest.rows().withColumn("bucket", F.xxhash64("tree", F.expr(f"shiftrightunsigned(sig, {64 - 16 * length})"))).drop("tree", "sig")
-    smallest = Window.partitionBy("bucket").orderBy("class")
-    heads = rows.withColumn("rank", F.row_number().over(smallest)).filter(F.col("rank") <= HEADS)
-    queries, same = rows.filter("later").alias("q"), ["bucket"]
-    near = cut(
-        queries.join(heads.alias("h"), same)
-        .filter((F.col("q.class") != F.col("h.class")) & close_sketches("q", "h", OVERLAP))
-        .select("bucket", F.col("q.class").alias("a"), F.col("h.class").alias("b"), F.col("h.settles").alias("settles"))
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+        self.forest = BucketedRuns(spark, f"{path}/forest", "bucket", ("low",), "class")
+        self.texts = BucketedRuns(spark, f"{path}/texts", "class")
+        self.hubs = BucketedRuns(spark, f"{path}/hubs", "hub")
+
+    def accept(self, classes: DataFrame, signs: DataFrame, members: DataFrame) -> None:
+        """Append accepted documents: their texts (class, letters), the signatures of these, and their (hub, id)."""
+        least = cut(members.groupBy("hub").agg(F.min("id").alias("id")))
+        self.hubs.append(least, least.count())
+        texts = classes.select("class", "letters")
+        n = texts.count()
+        self.texts.append(texts, n)
+        self.forest.append(planted(signs, "class"), n * TREES)
+
+    def start(self, documents: DataFrame) -> None:
+        """Accept all of the documents unseen, as the history that later batches are compared with."""
+        docs = cut(comparable(documents))
+        classes = cut(text_classes(docs))
+        self.accept(classes, cut(signed(classes, "class", "letters", TREES, WIDTH)), hubs_of(docs))
+
+    def drop(self) -> None:
+        for runs in (self.forest, self.texts, self.hubs):
+            runs.drop()
+
+    def nearest(self, classes: DataFrame, signs: DataFrame) -> DataFrame:
+        """(class, old): the smallest accepted id with a similar text, for each class that has one.
+
+        In each range of the forest a text is first compared with the HEADS smallest
+        accepted ids. Later ones of the range matter only if they may be smaller than
+        what was found anywhere: a range with a third of all texts, all alike, costs
+        as many comparisons as texts are looked up.
+        """
+        runs = self.forest.runs()
+        if not runs:
+            return self.spark.createDataFrame([], "class bigint, old bigint")
+        length = prefix_length(OVERLAP, TREES, RECALL)
+        near = close_sketches("w", "r", OVERLAP) & within_prefix("w", "r", length)
+        pair = [F.col("w.class").alias("a"), F.col("r.class").alias("b")]
+        probes = planted(signs, "class")
+        heads = [r.filter(F.col("rank") <= HEADS) for r in runs]
+        first = cut(verified(look_up(probes, heads, "bucket", pair, near).distinct(), classes, self.texts.runs()))
+        found = first.groupBy("a").agg(F.min("b").alias("old")).withColumnRenamed("a", "class")
+        rest = None
+        for r in runs:
+            full = r.filter(F.col("rank") == HEADS).select("bucket", F.col("class").alias("last"))
+            wanted = look_up(probes, [full], "bucket", [F.col("w.*"), F.col("r.last").alias("last")]).join(found, "class", "left")
+            wanted = wanted.filter(F.col("old").isNull() | (F.col("old") > F.col("last")))
+            later = F.col("r.class") > F.col("w.last")
+            more = look_up(wanted, [r], "bucket", pair, near & later & (F.col("w.old").isNull() | (F.col("r.class") < F.col("w.old"))))
+            rest = more if rest is None else rest.unionByName(more)
+        second = cut(verified(rest.distinct().join(first, ["a", "b"], "left_anti"), classes, self.texts.runs()))
+        return first.unionByName(second).groupBy("a").agg(F.min("b").alias("old")).withColumnRenamed("a", "class")
+
+    def absorb(self, documents: DataFrame, keep: bool = True) -> DataFrame:
+        """(kept_id, repeat_id) of the next documents, which may be of several batches; accepted ones join the history.
+
+        First everything is compared with the history. Whatever matches it is a repeat
+        and no longer a target; the texts of the others are compared among themselves
+        in the same way as with the history: in each range with its HEADS earliest
+        ones first, and with later ones only where that leaves something open. Then
+        the documents are decided, each once all earlier members of its hubs are.
+        ``keep=False`` leaves the history as it is, where nothing will follow.
+        """
+        docs = cut(comparable(documents))
+        members = hubs_of(docs)
+        classes = cut(text_classes(docs))
+        signs = cut(signed(classes, "class", "letters", TREES, WIDTH))
+        near = cut(self.nearest(classes, signs))
+        named = classes.join(near, "class").select("text", "old")
+        exact = look_up(members, self.hubs.runs(), "hub", [F.col("w.id").alias("id"), F.col("r.id").alias("old")])
+        similar = docs.join(named, "text").select("id", "old")
+        old = (similar if exact is None else similar.unionByName(exact)).groupBy("id").agg(F.min("old").alias("old"))
+        known = cut(docs.join(old, "id", "left").join(classes.select("text", "class"), "text", "left").select("id", "place", "text", "url", "class", "old"))
+        state, links = self._decide(known, classes, signs)
+        fresh = hubs_of(known.filter("old IS NULL"))
+        accepted = fresh.join(state.filter("status = 'accepted'").select("id"), "id", "left_semi")
+        # a hub accepts one document at most: any other of its members matches it
+        kept = accepted.groupBy("hub").agg(F.min("place").alias("accepted"))
+        new = _heard(known, links).join(kept, "hub").filter(F.col("accepted") < F.col("place")).groupBy("id").agg(F.min("accepted.id").alias("new"))
+        out = known.select("id", "old").join(new, "id", "left").select(F.least("old", "new").alias("kept_id"), F.col("id").alias("repeat_id")).filter("kept_id IS NOT NULL")
+        if keep:
+            out = cut(out)
+            texts = known.filter("class IS NOT NULL").join(state.filter("status = 'accepted'").select("id"), "id", "left_semi").select("id", "class")
+            named = classes.join(texts, "class").select("class", F.col("id").alias("as"), "letters")
+            own = cut(signs.join(named.select("class", "as"), "class").drop("class").withColumnRenamed("as", "class"))
+            self.accept(cut(named.select(F.col("as").alias("class"), "letters")), own, accepted.select("hub", "id"))
+        return out
+
+    def _decide(self, known: DataFrame, classes: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(id, place, status) of the documents that nothing of the history matches, and all links (class, text) between texts."""
+        open_ = known.filter("old IS NULL")
+        state = cut(open_.select("id", "place", F.lit("open").alias("status")))
+        targets = open_.filter("class IS NOT NULL").groupBy("class").agg(F.min("place").alias("first"), F.min("id").alias("least"))
+        # what still asks: open texts for all, others for ids smaller than the one they have
+        asking = lambda bound: known.filter("class IS NOT NULL").groupBy("class").agg(F.max(F.coalesce(bound, F.lit(2**63 - 1))).alias("bound"))
+        # ranges with a single text have nothing to compare: most of them
+        placed = planted(signs, "class").repartition("bucket")
+        shared = placed.groupBy("bucket").agg(F.min("class").alias("from"), F.max("class").alias("to")).filter(F.col("from") != F.col("to"))
+        rows = cut(placed.join(shared, "bucket", "left_semi"))
+        aims = cut(rows.join(targets, "class"))
+        earliest = Window.partitionBy("bucket").orderBy("first")
+        ranked = cut(aims.withColumn("rank", F.row_number().over(earliest)).filter(F.col("rank") <= HEADS + 1))
+        heads = ranked.filter(F.col("rank") <= HEADS)
+        near = close_sketches("w", "r", OVERLAP) & within_prefix("w", "r", prefix_length(OVERLAP, TREES, RECALL)) & (F.col("w.class") != F.col("r.class")) & (F.col("r.least") < F.col("w.bound"))
+        pair = [F.col("w.class").alias("a"), F.col("r.class").alias("b")]
+        asked = rows.join(asking(F.col("old")), "class")
+        first = cut(verified(look_up(asked, [heads], "bucket", pair, near).distinct(), classes, classes))
+        links = _both_ways(first, classes)
+        crowded = cut(ranked.filter(F.col("rank") == HEADS + 1).select("bucket"))
+        if not crowded.isEmpty():
+            # a text may only be accepted yet if all that precede it in its ranges were compared
+            full = aims.join(crowded, "bucket", "left_semi")
+            behind = full.join(heads.select("bucket", "class"), ["bucket", "class"], "left_anti").select("class").distinct()
+            unsure = open_.join(full.select("class", "first").distinct(), "class").join(behind.withColumn("behind", F.lit(True)), "class", "left")
+            unsure = cut(unsure.filter(F.col("behind") | (F.col("place") != F.col("first"))).select("id").distinct())
+            state = _settled(state, open_, links, unsure)
+            hit = state.filter("status = 'repeat'").select("id")
+            alive = open_.join(hit, "id", "left_anti").filter("class IS NOT NULL").select("class").distinct()
+            told = hubs_of(open_).join(state.filter("status = 'accepted'").select("id"), "id", "left_semi").groupBy("hub").agg(F.min("id").alias("new"))
+            sure = _heard(known, links).join(told, "hub").filter("new != id").groupBy("id").agg(F.min("new").alias("new")).join(hit, "id", "left_semi")
+            bounds = known.join(sure, "id", "left").withColumn("best", F.least("old", "new"))
+            still = bounds.filter("class IS NOT NULL").groupBy("class").agg(F.max(F.coalesce("best", F.lit(2**63 - 1))).alias("bound"))
+            late = full.join(heads.select("bucket", "class"), ["bucket", "class"], "left_anti").join(alive, "class", "left_semi")
+            asked = rows.join(crowded, "bucket", "left_semi").join(still, "class")
+            second = cut(verified(look_up(asked, [late], "bucket", pair, near).distinct().join(first, ["a", "b"], "left_anti"), classes, classes))
+            links = _both_ways(first.unionByName(second), classes)
+        state = _settled(state, open_, links)
+        return (state if state.filter("status = 'open'").isEmpty() else _walked(state, open_, links)), links
+
+
+def _both_ways(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, hub): the text hubs that the members of a class listen to besides their own."""
+    ways = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    return cut(ways.join(classes.select(F.col("class").alias("b"), F.col("text").alias("hub")), "b").select(F.col("a").alias("class"), "hub"))
+
+
+def _heard(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, place, hub): the hubs whose accepted members a document repeats."""
+    linked = docs.filter("class IS NOT NULL").join(links, "class").select("id", "place", "hub")
+    return hubs_of(docs).unionByName(linked)
+
+
+def _told(state: DataFrame, open_: DataFrame, heard: DataFrame) -> DataFrame:
+    """(id, hit, wait): of each open document, whether an accepted one and whether an open one precedes it in its hubs."""
+    alive = hubs_of(open_).select("id", "hub").join(state.filter("status != 'repeat'"), "id")
+    hubs = alive.groupBy("hub").agg(
+        F.min(F.when(F.col("status") == "accepted", F.col("place"))).alias("accepted"), F.min(F.when(F.col("status") == "open", F.col("place"))).alias("open")
     )
-    first = cut(verified(near.select("a", "b").distinct(), classes))
-    full = heads.filter(F.col("rank") == HEADS).select("bucket", F.col("class").alias("last"))
-    settled = near.filter("settles").join(first, ["a", "b"]).select("bucket", F.col("a").alias("class")).distinct()
-    rest = (
-        rows.filter("later").join(full, same).join(settled, ["bucket", "class"], "left_anti").alias("q")
-        .join(rows.alias("h"), same)
-        .filter((F.col("h.class") > F.col("q.last")) & (F.col("q.class") != F.col("h.class")) & close_sketches("q", "h", OVERLAP))
-        .select(F.col("q.class").alias("a"), F.col("h.class").alias("b"))
-    )
-    second = cut(verified(rest.distinct().join(first, ["a", "b"], "left_anti"), classes))
-    forest.drop()
-    links = first.unionByName(second)
-    return links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-
-
-def repeats(documents: DataFrame, max_rounds: int = 200) -> DataFrame:
+    before = lambda c: F.max(F.coalesce(F.col(c) < F.col("place"), F.lit(False)))
+    asking = heard.join(state.filter("status = 'open'").select("id"), "id", "left_semi")
+    return asking.join(hubs, "hub", "left").groupBy("id").agg(before("accepted").alias("hit"), before("open").alias("wait"))
+
+
+def _settled(state: DataFrame, open_: DataFrame, links: DataFrame, unsure: DataFrame | None = None) -> DataFrame:
+    """Decide in rounds: a document is a repeat once an accepted one precedes it in its hubs, accepted once nothing open does.
+
+    ``unsure`` documents are not accepted. A document without hubs is accepted. After
+    ROUNDS rounds, or one that decides nothing, the rest stays open.
+    """
+    heard = cut(_heard(open_, links))
+    left = None
+    for _ in range(ROUNDS):
+        told = _told(state, open_, heard)
+        rows = state.join(told, "id", "left")
+        free = ~F.coalesce("wait", F.lit(False))
+        if unsure is not None:
+            rows = rows.join(unsure.withColumn("unsure", F.lit(True)), "id", "left")
+            free = free & F.col("unsure").isNull()
+        verdict = F.when(F.col("status") != "open", F.col("status")).when(F.col("hit"), "repeat").when(free, "accepted").otherwise("open")
+        state = cut(rows.select("id", "place", verdict.alias("status")))
+        now = state.filter("status = 'open'").count()
+        if now in (0, left):
+            break
+        left = now
+    return state
+
+
+def _walked(state: DataFrame, open_: DataFrame, links: DataFrame) -> DataFrame:
+    """Decide what long chains left open: each connected component of open documents in order of place, in one stream.
+
+    A task keeps the hubs that a component's walk accepted, nothing else; components
+    are spread over the tasks.
+    """
+    heard = cut(_heard(open_, links))
+    hit = _told(state, open_, heard).select("id", "hit")
+    waiting = state.filter("status = 'open'").select("id")
+    own = hubs_of(open_).join(waiting, "id", "left_semi").select("id", "hub")
+    asked = heard.join(waiting, "id", "left_semi").join(own.select("hub").distinct(), "hub", "left_semi")
+    edges = asked.select(F.concat(F.lit("d"), "id").alias("a"), F.col("hub").alias("b"))
+    parts = connected_components(cut(edges.distinct())).select(F.col("node").alias("key"), "component")
+    lists = asked.groupBy("id", "place").agg(F.collect_set("hub").alias("heard")).join(own.groupBy("id").agg(F.collect_set("hub").alias("own")), "id", "left").join(hit, "id")
+    rows = lists.withColumn("key", F.concat(F.lit("d"), "id")).join(parts, "key", "left").select(F.coalesce("component", "key").alias("component"), "place", "id", "heard", "own", "hit")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, accepted = None, set()
+        for frame in frames:
+            verdicts = []
+            for part, heard_, own_, hit_ in zip(frame.component, frame.heard, frame.own, frame.hit):
+                if part != now:
+                    now, accepted = part, set()
+                repeat = bool(hit_) or not accepted.isdisjoint(heard_)
+                if not repeat and own_ is not None:
+                    accepted.update(own_)
+                verdicts.append("repeat" if repeat else "accepted")
+            yield pd.DataFrame({"id": frame.id, "verdict": verdicts})
+
+    ordered = rows.repartition("component").sortWithinPartitions("component", "place")
+    verdicts = ordered.mapInPandas(run, f"id {open_.schema['id'].dataType.simpleString()}, verdict string")
+    return cut(state.join(verdicts, "id", "left").select("id", "place", F.when(F.col("status") == "open", F.col("verdict")).otherwise(F.col("status")).alias("status")))
+
+
+def repeats(documents: DataFrame) -> DataFrame:
     """(kept_id, repeat_id): the documents of later batches that repeat an accepted one.
 
     Documents are gone through by batch_no, then id. All of batch 0 are accepted; a
     later one is a repeat if its URL equals that of an accepted one or its text is
-    similar to it, else accepted; kept_id is the smallest id it matches. Documents
-    with the same URL or the same text meet in one hub each, so copies are never
-    paired among themselves; similar texts are links between hubs. What is open
-    after batch 0 is settled in rounds: a document is decided once every earlier
-    member of its hubs is.
+    similar to it, else accepted; kept_id is the smallest id it matches. Batch 0 is
+    planted as a history; all later batches are absorbed at once, in their order,
+    which gives what absorbing them one by one does.
 
     Null, blank and short bodies match by URL only; null, relative and pathless URLs
     by text only; a document with neither is accepted. Empty tables give no rows.
-    A null batch_no counts as batch 0.
+    A null batch_no counts as batch 0. ``id`` must be unique.
     """
-    docs = cut(comparable(documents.withColumn("batch_no", F.coalesce("batch_no", F.lit(0)))))
-    classes = cut(text_classes(docs))
-    links = similar_classes(classes)
-    place = F.struct("batch_no", "id").alias("place")
-    keyed = classes.select("text_key", "class")
-    texts = docs.filter("text_key IS NOT NULL").join(keyed, "text_key").select("id", "batch_no", place, F.concat(F.lit("t"), "class").alias("hub"), "class")
-    urls = docs.filter("url IS NOT NULL").select("id", "batch_no", place, F.concat(F.lit("u"), F.md5("url")).alias("hub"))
-    members = cut(texts.drop("class").unionByName(urls))
-    # a hub with a member of batch 0 accepts none later; its smallest id of batch 0 stands for it
-    old = members.filter("batch_no = 0").groupBy("hub").agg(F.min("id").alias("old"))
-    heard = texts.filter("batch_no > 0").join(links.select(F.col("a").alias("class"), F.concat(F.lit("t"), "b").alias("other")), "class").select("id", "place", F.col("other").alias("hub"))
-    listens = cut(
-        members.filter("batch_no > 0").select("id", "place", "hub").unionByName(heard).join(old, "hub", "left")
-    )
-    kept = listens.groupBy("id").agg(F.min("old").alias("kept_id"), F.first("place").alias("place"))
-    fresh = listens.filter("old IS NULL").drop("old")
-    state = cut(kept.select("id", "place", F.when(F.col("kept_id").isNotNull(), "repeat").otherwise("open").alias("status")))
-    fresh_members = members.filter("batch_no > 0").select("id", "hub").join(old, "hub", "left_anti")
-
-    def hubs(state):
-        told = fresh_members.join(state.filter("status != 'repeat'"), "id")
-        return told.groupBy("hub").agg(
-            F.min(F.when(F.col("status") == "accepted", F.col("place"))).alias("accepted"),
-            F.min(F.when(F.col("status") == "open", F.col("place"))).alias("open"),
-        )
-
-    for _ in range(max_rounds):
-        if state.filter("status = 'open'").isEmpty():
-            break
-        told = (
-            fresh.join(state.filter("status = 'open'").select("id"), "id", "left_semi").join(hubs(state), "hub", "left")
-            .groupBy("id")
-            .agg(F.max(F.coalesce(F.col("accepted") < F.col("place"), F.lit(False))).alias("hit"), F.max(F.coalesce(F.col("open") < F.col("place"), F.lit(False))).alias("wait"))
-        )
-        verdict = F.when(F.col("status") != "open", F.col("status")).when(F.col("hit"), "repeat").when(F.col("wait"), "open").otherwise("accepted")
-        state = cut(state.join(told, "id", "left").select("id", "place", verdict.alias("status")))
-    else:
-        raise RuntimeError(f"documents still undecided after {max_rounds} rounds")
-    new = fresh.join(hubs(state).filter("accepted IS NOT NULL"), "hub").filter(F.col("accepted") < F.col("place")).groupBy("id").agg(F.min("accepted.id").alias("new_id"))
-    return (
-        state.filter("status = 'repeat'").join(kept.select("id", "kept_id"), "id").join(new, "id", "left")
-        .select(F.least("kept_id", "new_id").alias("kept_id"), F.col("id").alias("repeat_id"))
-    )
+    spark = documents.sparkSession
+    history = History(spark, shared_table(spark, "history"))
+    first = F.coalesce("batch_no", F.lit(0)) == 0
+    history.start(documents.filter(first))
+    out = cut(history.absorb(documents.filter(~first), keep=False))
+    history.drop()
+    return out

@@ -56,35 +56,30 @@ def test_copies_unusable_and_ties(spark):
     assert neighbours.similar_pairs(spark.createDataFrame([], SCHEMA)).isEmpty()
 
 
-def test_prefix_length_reaches_the_recall():
-    for s in (0.5, 0.8):
+def test_the_prefix_widens_until_the_recall_is_reached():
+    assert forest.prefix_length(0.95, 64, 0.98) == forest.DEPTH and forest.prefix_length(0.5, 64, 0.98) == forest.ROOT
+    for s in (0.5, 0.6, 0.7, 0.8):
         x = forest.prefix_length(s, 64, 0.98)
-        assert 1 - (1 - s**x) ** 64 >= 0.98
+        assert 1 - (1 - s**x) ** 64 >= 0.98 and (x == forest.DEPTH or 1 - (1 - s ** (x + 1)) ** 64 < 0.98)
 
 
-def test_signer_bounds_memory_and_estimates():
-    signer = forest.Signer(64, 8)
+def test_min_hash_values_agree_with_the_overlap(monkeypatch):
     rng = random.Random(1)
-    a = "".join(rng.choice("abcdefghij") for _ in range(9000))
-    b = a[:7000] + "".join(rng.choice("klmnop") for _ in range(2000))
-    x, y = (forest.shingle_hashes(t, 8) for t in (a, b))
-    true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
-    equal = np.mean(signer.minima(a) == signer.minima(b))
-    assert abs(equal - true) < 0.12
-    assert len(forest.shingle_hashes("short", 8)) == 0
-
-
-def test_forest_runs_merge(spark, tmp_path):
-    texts = spark.createDataFrame([(i, "text number %d with enough letters" % i) for i in range(20)], "k long, t string")
-    trees = forest.Forest(spark, str(tmp_path / "f"), 8)
-    trees.add_run(forest.planted(forest.signed(texts.filter("k < 10"), "k", "t", 8, 8)), "a")
-    trees.add_run(forest.planted(forest.signed(texts.filter("k >= 10"), "k", "t", 8, 8)), "b")
-    trees.add_run(forest.planted(forest.signed(texts.filter("k >= 10"), "k", "t", 8, 8)), "b")  # again: replaced
-    assert trees.rows().count() == 160
-    trees.merge_runs(str(tmp_path / "g"))
-    assert trees.rows().count() == 160
-    trees.drop()
-    assert not (tmp_path / "g").exists()
+    apart = []
+    for _ in range(60):
+        a = "".join(rng.choice("abcdefghij") for _ in range(rng.choice([250, 900, 4000])))
+        c = rng.randrange(len(a))
+        b = a[:c] + "".join(rng.choice("klmnop") for _ in range(len(a) - c))
+        x, y = (forest.distinct_runs(t, 8) for t in (a, b))
+        least = forest.minima([a, b], 8)
+        apart.append(np.mean(least[0] == least[1]) - len(np.intersect1d(x, y)) / len(np.union1d(x, y)))
+    assert abs(np.mean(apart)) < 0.02 and np.std(apart) < 0.05
+    texts = ["a" * 30, "a" * 50, "a" * 7 + "b", "x" + a, a]
+    whole = forest.minima(texts, 8)
+    assert (whole[0] == whole[1]).all() and not (whole[0] == whole[2]).any()
+    monkeypatch.setattr(forest, "BLOCK", 100)  # long texts in pieces: the same values
+    assert (forest.minima(texts, 8) == whole).all()
+    assert len(forest.distinct_runs("short", 8)) == 0
 
 
 def fold(rows):
@@ -141,6 +136,63 @@ def test_hot_group_of_similar_texts_links_to_its_first(spark):
     assert [b for _, b in got] == list(range(150, 300)) and {a for a, _ in got} == {0}
 
 
+def test_similar_later_texts_need_few_links(spark, monkeypatch):
+    rng = random.Random(6)
+    text = words(rng, 80)
+    compared = []
+    plain = history.verified
+
+    def counted(pairs, left, right):
+        compared.append(pairs.count())
+        return plain(pairs, left, right)
+
+    monkeypatch.setattr(history, "verified", counted)
+    rows = [(i, 1 + i % 3, None, text + words(rng, 3)) for i in range(600)]  # all texts differ, none is of the history
+    made = []
+    for n in (200, 600):
+        assert found(documents(spark, rows[:n])) == fold(rows[:n])
+        made.append(sum(compared))
+        compared.clear()
+    assert made[1] <= 4 * made[0]  # three times the texts; nine times as many pairs
+
+
+def test_a_long_chain_is_settled(spark):
+    rng = random.Random(7)
+    blocks = ["".join(rng.choice("abcdefgh") for _ in range(70)) for _ in range(504)]
+    rows = [(i, 1, None, "".join(blocks[i : i + 4])) for i in range(500)]  # each overlaps only with the ones beside it
+    got = found(documents(spark, rows))
+    assert got == [(i - 1, i) for i in range(1, 500, 2)]
+
+
+def test_batches_one_by_one_are_as_all_at_once_and_sign_nothing_twice(spark, tmp_path, monkeypatch):
+    rng = random.Random(8)
+    base = [words(rng) for _ in range(15)]
+    rows = []
+    for i in range(160):
+        body = rng.choice(base)[rng.choice([0, 0, 60, 120]) :] + words(rng, rng.choice([0, 5, 20]))
+        rows.append((i, i // 40, rng.choice([None, f"https://h/{rng.randrange(60)}"]), body))
+    seen = []
+    plain = history.signed
+
+    def counted(texts, *more):
+        seen.append(sorted(r[0] for r in texts.select("letters").collect()))
+        return plain(texts, *more)
+
+    monkeypatch.setattr(history, "signed", counted)
+    kept = history.History(spark, str(tmp_path / "h"))
+    kept.start(documents(spark, [r for r in rows if r[1] == 0]))
+    got = []
+    for n in (1, 2, 3):
+        kept = history.History(spark, str(tmp_path / "h"))  # opened again by its path
+        got += [(r.kept_id, r.repeat_id) for r in kept.absorb(documents(spark, [r for r in rows if r[1] == n])).collect()]
+    assert sorted(got) == fold(rows)
+    for n, texts in enumerate(seen):
+        own = documents(spark, [r for r in rows if r[1] == n])
+        assert texts == sorted(r[0] for r in history.text_classes(history.comparable(own)).select("letters").collect())
+    assert len(kept.forest.entries()) <= 2  # merged by size
+    kept.drop()
+
+
 def test_heads_do_not_hide_the_rest(spark, monkeypatch):
     monkeypatch.setattr(history, "HEADS", 2)
     test_repeats_follow_the_fold(spark, 1)
