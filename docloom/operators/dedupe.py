@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.signatures import cjk_pairs_of, words_of
 from ..functions.similarity import nfkc, normalize_title, plain_ratio, similar_in, title_similarity
 from ..functions.text import identity_values, squeeze
 from ..functions.urls import url_key
@@ -149,11 +150,9 @@ def exact_content_edges(docs: DataFrame) -> DataFrame:
 
 
 def blocking_keys(folded: Column) -> Column:
-    """Words of four or more characters and pairs of CJK characters."""
-    words = F.filter(F.regexp_extract_all(folded, F.lit(r"[a-z0-9][a-z0-9+.#_-]{2,}"), F.lit(0)), lambda w: F.char_length(w) >= 4)
-    runs = F.regexp_extract_all(folded, F.lit("[㐀-䶿一-鿿]{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: r.substr(i, F.lit(2)))))
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.concat(F.lit("w:"), w)), F.transform(pairs, lambda p: F.concat(F.lit("c:"), p))))
+    """Words of four or more characters and pairs of CJK characters, each marked with its kind."""
+    marked = lambda kind, found: F.transform(found, lambda t: F.concat(F.lit(f"{kind}:"), t))
+    return F.array_distinct(F.concat(marked("w", words_of(folded)), marked("c", cjk_pairs_of(folded))))
 
 
 def fuzzy_title_edges(docs: DataFrame, score: float = FUZZY_SCORE) -> DataFrame:
@@ -313,6 +312,3 @@ def assess(pairs: DataFrame) -> DataFrame:
         verdict = F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(decision).alias("decision"), reason.alias("reason"), score.alias("score"))).otherwise(verdict)
     return scored.select("a", "b", verdict.alias("v")).select("a", "b", "v.decision", "v.reason", "v.score")
 
-
-def latest_first(by: list[str], *order: Column) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))

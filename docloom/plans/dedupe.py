@@ -40,9 +40,9 @@ def dedupe_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).select("id", F.col("published_at").alias("at"), signatures.signature("title", "body").alias("s"))
-    bands = F.concat(signatures.simhash_bands(F.col("s.simhash")), signatures.minhash_bands(F.col("s.minhash")))
-    return cut(docs.select("id", "at", bands.alias("bands"), F.col("s.blocking").alias("blocking"), F.col("s.simhash").alias("simhash"), F.col("s.minhash").alias("minhash")))
+    docs = signatures.with_signature(_docs(spark, sf_dir).select("id", F.col("published_at").alias("at"), "title", "body"), "title", "body").drop("title", "body")
+    bands = F.concat(signatures.simhash_bands(F.col("simhash")), signatures.minhash_bands(F.col("minhash")))
+    return cut(docs.select("id", "at", bands.alias("bands"), "blocking", "simhash", "minhash"))
 
 
 def lsh_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

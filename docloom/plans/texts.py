@@ -57,15 +57,15 @@ def evidence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = table(spark, sf_dir, "intel_documents").select("id", signatures.signature("title", "body").alias("s"))
+    signed = signatures.with_signature(table(spark, sf_dir, "intel_documents").select("id", "title", "body"), "title", "body").drop("title", "body")
     return signed.select(
         "id",
-        F.array_join("s.tokens", " ").alias("tokens"),
-        F.array_join("s.blocking", " ").alias("blocking"),
-        F.col("s.simhash").alias("simhash"),
-        F.array_join("s.minhash", " ").alias("minhash"),
-        F.array_join(signatures.simhash_bands(F.col("s.simhash")), " ").alias("simhash_bands"),
-        F.array_join(signatures.minhash_bands(F.col("s.minhash")), " ").alias("minhash_bands"),
+        F.array_join("tokens", " ").alias("tokens"),
+        F.array_join("blocking", " ").alias("blocking"),
+        "simhash",
+        F.array_join("minhash", " ").alias("minhash"),
+        F.array_join(signatures.simhash_bands(F.col("simhash")), " ").alias("simhash_bands"),
+        F.array_join(signatures.minhash_bands(F.col("minhash")), " ").alias("minhash_bands"),
     )
 
 

@@ -127,11 +127,20 @@ def test_text_functions(spark):
     assert [r[0] for r in aliases.select(F.col("t").rlike(text.alias_pattern("agent"))).collect()] == [False, True, False, None]
 
 
-def test_signatures_are_deterministic(spark):
-    tokens = signatures.token_set("Prompt injection in 智能体框架 and more")
-    assert "智能" in tokens and "injection" in tokens and "and" not in tokens
-    assert signatures.simhash(tokens) == signatures.simhash(tokens[::-1][::-1]) and len(signatures.minhash(tokens)) == 16
-    assert signatures.simhash([]) is None and signatures.minhash([]) == [] and signatures.blocking_tokens("short", "x" * 99) == []
+def test_signatures(spark):
+    import hashlib
+
+    number = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:16], 16)
+    rows = [("Prompt injection in 智能体框架 and more things", "zzzz " * 99 + "\n beyond"), (None, None), ("short", "words enough here"), ("Ｆｕｌｌ ＷＩＤＴＨ straße letters all in here", None)]
+    got = signatures.with_signature(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, title string, body string"), "title", "body").orderBy("id").collect()
+    assert got[0].tokens == ["beyond", "injection", "more", "prompt", "things", "zzzz", "体框", "智能", "框架", "能体"]
+    assert got[0].blocking == ["injection", "more", "prompt", "things", "体框", "智能", "框架", "能体", "beyond", "zzzz"]
+    for r in got:
+        ones = [sum(number(t) >> b & 1 for t in r.tokens) for b in range(64)]
+        want = f"{sum(1 << b for b in range(64) if 2 * ones[b] >= len(r.tokens)):016x}" if r.tokens else None
+        assert r.simhash == want
+        assert r.minhash == [f"{min(number(f'{s}:{t}') for t in r.tokens):016x}" for s in range(16) if r.tokens]
+    assert got[1].tokens == [] and got[1].simhash is None and got[2].blocking == [] and got[3].tokens == ["full", "here", "letters", "strasse", "width"]
 
 
 def test_stable_ids_are_the_greedy_assignment(spark):
