@@ -15,16 +15,18 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Line ends other than the paragraph separator.
 _NL = "\n\r\v\f\x85\u2028"
 _BLANK_LINE = re.compile(rf"(?:\r\n|[{_NL}])(?:[^\S{_NL}\u2029]*(?:\r\n|[{_NL}]))+|\u2029")
 
-#: Characters with the property Sentence_Terminal, without the full stops below.
-_STOPS = "!?՜՞։؝؞؟۔܀܁܂߹࠷࠹࠽࠾।॥၊။።፧፨᙮᜵᜶᠃᠉᥄᥅‼‽⁇⁈⁉⸮⸼。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡"
+#: All characters with the property Sentence_Terminal but the full stop, which may also abbreviate.
+_STOPS = "".join(regex.findall(r"(?!\.)\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))))
 _GREEK_QUESTION = "\u037e"
-_RUN = re.compile(rf"[.{_STOPS}…{_GREEK_QUESTION}]+|(?<=[Ͱ-Ͽἀ-῿]);")
+_RUN = re.compile(rf"[.{re.escape(_STOPS)}…{_GREEK_QUESTION}]+|(?<=[Ͱ-Ͽἀ-῿]);")
 
 #: What opens and closes quotations and brackets.
 _CLOSERS = {
@@ -38,7 +40,7 @@ _ALL_CLOSERS = set("".join(_CLOSERS.values())) - {"“", "‘"} | {"’"}
 #: Marks after which a sentence goes on.
 _CONTINUE = set(",;:-–—、，；：،؛;")
 
-#: Abbreviations that never end a sentence, by language; one list, since lang is often wrong.
+#: Abbreviations that end no sentence, by language.
 ABBREVIATIONS = {
     "en": "dr prof st mr mrs ms messrs gen col capt lt sgt rev hon gov sen rep vs cf approx e.g i.e viz resp ca",
     "de": "dr prof bzw ca vgl ggü evtl inkl exkl zzgl bspw sog ggf d.h z.b u.a i.d.r hrsg hl str",
@@ -61,10 +63,45 @@ BEFORE_NUMBERS = {
 #: Month names after German ordinals.
 _GERMAN_MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
 
-_NEVER = {w for words in ABBREVIATIONS.values() for w in words.split()}
-_NUMBERED = {w for words in BEFORE_NUMBERS.values() for w in words.split()}
+#: Words that begin a sentence and no name; after one letter or an address's abbreviation they show that a sentence ended.
+STARTERS = {
+    "en": "he she it they we you the this that these those then there here when while after before if but and so however",
+    "de": "er sie es wir ihr der die das dies diese dieser dann dort hier als nach wenn aber und jedoch",
+    "fr": "il elle ils elles nous vous le la les ce cette ces puis alors quand après mais et cependant",
+    "es": "él ella ellos ellas nosotros ustedes el la los las este esta estos entonces cuando después pero y sin",
+    "ru": "он она оно они мы вы это эти тогда здесь когда после если но однако",
+}
+#: Abbreviations that may stand before a name as well as at a sentence's end.
+EITHER = set("st ave rd blvd hl str avda ул гр inc ltd co corp jr sr".split())
+
+
+class Language:
+    """The abbreviations and sentence beginnings of one language, or of all."""
+
+    def __init__(self, *langs: str) -> None:
+        words = lambda lists: {w for lang in langs for w in lists.get(lang, "").split()}
+        self.never, self.numbered, self.starters = words(ABBREVIATIONS), words(BEFORE_NUMBERS), words(STARTERS)
+
+
+_ALL = Language(*dict.fromkeys([*ABBREVIATIONS, *BEFORE_NUMBERS, *STARTERS]))
+_LANGUAGES = {lang: Language(lang) for lang in STARTERS}
+_LONGEST = max(map(len, _ALL.never)) + 1
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def language_of(text: str, lang: str | None) -> Language:
+    """The named language where the text bears it out by words of its own and of no other; else all, since names are often wrong or missing."""
+    named = _LANGUAGES.get((lang or "").lower().split("-")[0])
+    if named is None:
+        return _ALL
+    words = {w.lower() for w in _LETTERS.findall(text)}
+    own = len(words & named.starters)
+    return named if own and all(len(words & other.starters) < own for other in _LANGUAGES.values() if other is not named) else _ALL
+
+
 _ADDRESS = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]{1,15}://|www\.)[!-~]+|[\w.+-]{1,64}@[\w-]{1,63}(?:\.[\w-]{1,63})+")
-_WORD_BEFORE = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॣ॰-ॿ])+(?:\.(?:[^\W_])+)*\Z")
+_WORD_CHARACTER = re.compile(r"[^\W_]|[̀-ͯऀ-ॣ॰-ॿ]")
+_DOTTED_BEFORE = re.compile(r"(?:[^\W_]|[̀-ͯऀ-ॣ॰-ॿ])+(?:\.(?:[^\W_])+)*\.\Z")
 _LIST_MARK = re.compile(r"\s*(?:[-*•‣◦▪]|\d{1,3}[.)]|[(（]\d{1,3}[)）]|[A-Za-z]\))[^\S\n\r]+")
 _THAI_SPACE = re.compile(r"(?<=[ก-ฺเ-๎])[\s\u200b\u00ad]*\s[\s\u200b\u00ad]*(?=[ก-ฺเ-๎])")
 _LINE = re.compile(rf"\r\n|[{_NL}]")
@@ -74,22 +111,30 @@ _UNCASED = re.compile(r"[฀-໿぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 
 def _spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The outermost matched quotations and brackets of a paragraph; unmatched marks are ordinary characters."""
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[int, int]] = []  # place and number of what is open
+    waiting: dict[str, list[tuple[int, int]]] = {}  # closing mark -> depth and number of what it would close
     found: list[tuple[int, int]] = []
+    number = 0
     for m in _MARKS.finditer(text, start, end):
         mark, at = m.group(), m.start()
         before = text[at - 1] if at > start else " "
         after = text[at + 1] if at + 1 < end else " "
         if mark == "’" and before.isalnum() and after.isalnum():
             continue  # an apostrophe
-        close = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if mark in _CLOSERS[stack[i][0]]), None)
-        if close is None and mark in "\"＂" and before.isdigit():
+        open_ = waiting.get(mark, [])
+        while open_ and (open_[-1][0] >= len(stack) or stack[open_[-1][0]][1] != open_[-1][1]):
+            open_.pop()  # it went with something around it
+        if not open_ and mark in "\"＂" and before.isdigit():
             continue  # inches
-        if close is not None:
-            found.append((stack[close][1], at + 1))
-            del stack[close:]
+        if open_:
+            depth = open_.pop()[0]
+            found.append((stack[depth][0], at + 1))
+            del stack[depth:]
         elif mark in _CLOSERS:
-            stack.append((mark, at))
+            number += 1
+            for closer in _CLOSERS[mark]:
+                waiting.setdefault(closer, []).append((len(stack), number))
+            stack.append((at, number))
     outer: list[tuple[int, int]] = []
     for span in sorted(found):
         if not outer or span[0] >= outer[-1][1]:
@@ -98,8 +143,8 @@ def _spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 class _Paragraph:
-    def __init__(self, text: str, start: int, end: int) -> None:
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, start: int, end: int, language: Language) -> None:
+        self.text, self.start, self.end, self.language = text, start, end, language
         self.spans = _spans(text, start, end)
         self.opens = [a for a, _ in self.spans]
         self.addresses = [(m.start(), m.end()) for m in _ADDRESS.finditer(text, start, end)]
@@ -148,8 +193,25 @@ class _Paragraph:
         return "mark" if c in _CONTINUE else None
 
     def word_before(self, at: int) -> str:
-        m = _WORD_BEFORE.search(self.text, max(self.start, at - 40), at)
-        return m.group() if m else ""
+        """The letters and digits before ``at``, with what stands before a dot in front of them as far as an abbreviation may reach."""
+        first = at
+        while first > self.start and _WORD_CHARACTER.match(self.text[first - 1]):
+            first -= 1
+        if first == at or first == self.start or self.text[first - 1] != ".":
+            return self.text[first:at]
+        dotted = _DOTTED_BEFORE.search(self.text, max(self.start, first - _LONGEST), first)
+        return (dotted.group() if dotted else "") + self.text[first:at]
+
+    def suppressed(self, word: str, nxt: int) -> bool:
+        """Whether a full stop after ``word`` only abbreviates, before what stands at ``nxt``."""
+        plain = word.lower()
+        letter = len(word) == 1 and word.isalpha()
+        if not letter and plain not in self.language.never:
+            return False
+        if letter or plain in EITHER:
+            follows = _LETTERS.match(self.text, nxt, self.end)
+            return not (follows and follows.group()[0].isupper() and follows.group().lower() in self.language.starters)
+        return True
 
     def stop_ends(self, a: int, b: int) -> bool:
         """Whether the full stop at [a, b) ends a sentence; what follows it is at b."""
@@ -161,9 +223,9 @@ class _Paragraph:
             return False
         kind, word = self.starts_word(nxt), self.word_before(a)
         plain = word.lower()
-        if plain in _NEVER or (len(word) == 1 and word.isalpha()):
+        if self.suppressed(word, nxt):
             return False
-        if kind == "digit" and plain in _NUMBERED:
+        if kind == "digit" and plain in self.language.numbered:
             return False
         if kind == "lower":
             return False
@@ -176,7 +238,7 @@ class _Paragraph:
                 return False  # U.S.A
             return bool(word) and kind in ("upper", "other")
         if len(word) <= 2 and word.isdigit() and kind == "upper":
-            follows = re.compile(r"[^\W\d_]+").match(text, nxt, self.end)
+            follows = _LETTERS.match(text, nxt, self.end)
             return not (follows and follows.group().lower() in _GERMAN_MONTHS)
         return True
 
@@ -225,9 +287,9 @@ class _Paragraph:
         return True
 
 
-def _paragraph(text: str, start: int, end: int) -> list[int]:
+def _paragraph(text: str, start: int, end: int, language: Language) -> list[int]:
     """Positions within [start, end) before which a sentence ends."""
-    p = _Paragraph(text, start, end)
+    p = _Paragraph(text, start, end, language)
     events: list[tuple[int, int, str]] = []
     skips: list[tuple[int, int]] = []
     mark = _LIST_MARK.match(text, start, end)
@@ -241,7 +303,7 @@ def _paragraph(text: str, start: int, end: int) -> list[int]:
         while last > start and text[last].isspace():
             last -= 1
         word = p.word_before(last).lower() if text[last] == "." else ""
-        if (text[last] in _STOPS or text[last] in ".…" or text[last] in _ALL_CLOSERS) and word not in _NEVER and word not in _NUMBERED and len(word) != 1:
+        if (text[last] in _STOPS or text[last] in ".…" or text[last] in _ALL_CLOSERS) and word not in language.never and word not in language.numbered and len(word) != 1:
             events.append((m.end(), m.end(), "line"))
             skips.append((m.end(), mark.end()))
     marked = [a for a, _ in skips]
@@ -285,7 +347,7 @@ def _paragraph(text: str, start: int, end: int) -> list[int]:
     return cuts
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
+def sentence_spans(text: str, lang: str | None = None) -> list[tuple[int, int]]:
     """(start, end) of every sentence, without surrounding white space, in order; none for blank text."""
     out: list[tuple[int, int]] = []
 
@@ -297,11 +359,11 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         if a < b:
             out.append((a, b))
 
-    at = 0
+    at, language = 0, language_of(text, lang)
     for a, b in [*((m.start(), m.end()) for m in _BLANK_LINE.finditer(text)), (len(text), len(text))]:
         if a > at:
             last = at
-            for c in _paragraph(text, at, a):
+            for c in _paragraph(text, at, a, language):
                 add(last, c)
                 last = c
             add(last, a)
@@ -309,26 +371,27 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, start_pos, end_pos): one row per sentence, in characters from 0, the end exclusive.
 
     Marks that close a sentence belong to it. Nothing is split within matched quotes
     or brackets; one that is introduced by a colon ends its sentence. A blank line
     always ends a sentence, a single line break is a space. Null, empty and blank
     texts have no sentences; repeated rows give repeated sentences. Each text is
-    scanned once from end to end, whatever its length, and no row leaves its task.
+    scanned once from end to end, whatever its length, and no row leaves its task. The
+    column ``lang`` may be missing, null or wrong: it only chooses abbreviations.
     """
     kind = documents.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             keys, starts, ends = [], [], []
-            for k, t in zip(frame["k"], frame["t"]):
-                for a, b in sentence_spans(t):
+            for k, t, named in zip(frame["k"], frame["t"], frame["l"]):
+                for a, b in sentence_spans(t, named):
                     keys.append(k)
                     starts.append(a)
                     ends.append(b)
             yield pd.DataFrame({key: pd.Series(keys, dtype=frame["k"].dtype), "start_pos": pd.Series(starts, dtype="int32"), "end_pos": pd.Series(ends, dtype="int32")})
 
-    rows = documents.filter(documents[text].isNotNull()).select(documents[key].alias("k"), documents[text].alias("t"))
+    rows = documents.filter(documents[text].isNotNull()).select(documents[key].alias("k"), documents[text].alias("t"), (documents[lang] if lang in documents.columns else F.lit(None)).cast("string").alias("l"))
     return rows.mapInPandas(run, f"`{key}` {kind}, start_pos int, end_pos int")

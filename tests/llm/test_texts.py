@@ -192,3 +192,37 @@ def test_registered_mixture_of_all_tokens_reports_shares_below_target(spark, tmp
     assert shares["tiny"].uses == 3 and 0 < shares["tiny"].share < 0.05
     assert shares["large"].documents == 60 or shares["large"].documents == 59
     assert queries.QUERIES["p9_whole_mix"](spark, str(tmp_path)).count() >= 60
+
+
+def test_every_sentence_terminal_ends_a_sentence():
+    import regex
+
+    from docloom.llm.sentences import sentence_spans
+
+    every = regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+    assert len(every) > 160
+    for mark in every:
+        text = f"Something happened{mark} Nothing followed{mark}"
+        assert sentence_spans(text) == [(0, 19), (20, 37)], hex(ord(mark))
+
+
+def test_abbreviations_by_language_and_context():
+    from docloom.llm.sentences import sentence_spans
+
+    def split(text, lang=None):
+        return [text[a:b] for a, b in sentence_spans(text, lang)]
+
+    assert split("I chose plan B. Then we left.") == ["I chose plan B.", "Then we left."]
+    assert split("He lives on Main St. She left.") == ["He lives on Main St.", "She left."]
+    assert split("J. Smith met Dr. Who on St. Mary Ave. in May.") == ["J. Smith met Dr. Who on St. Mary Ave. in May."]
+    assert split("We see the vgl. Here it ends.", "en") == ["We see the vgl.", "Here it ends."]  # an abbreviation in German only
+    assert split("Das ist neu, vgl. Abschnitt eins.", "de") == split("Das ist neu, vgl. Abschnitt eins.", "en") == ["Das ist neu, vgl. Abschnitt eins."]  # a wrong name isn't believed
+
+
+def test_nesting_and_words_have_no_bound():
+    from docloom.llm.sentences import sentence_spans
+
+    deep = "(«" * 300 + "One. Two." + "»)" * 300
+    assert sentence_spans(f"Start {deep} goes on. Next.") == [(0, 1224), (1225, 1230)]
+    long = "x" * 5000
+    assert sentence_spans(f"{long}. {long.title()}.") == [(0, 5001), (5002, 10003)]
