@@ -40,6 +40,29 @@ def test_recall_and_exact_order(spark):
     assert len(pairs & {(a, b) for a, bs in got.items() for b in bs}) >= 0.95 * len(pairs)
 
 
+def test_dense_topics_keep_their_recall_and_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=32) / 32**0.5
+    x = np.concatenate([centre + rng.normal(size=(4000, 32)) * 0.06, rng.normal(size=(1500, 32))]).astype(np.float32)  # one topic holds most vectors
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), "v", 32, v.tolist(), "clash", 1) for i, v in zip(ids, x)], SCHEMA)
+    found = lambda: {(r.id, r.other_id) for r in neighbours.most_similar(df, 10, 0.9).collect()}
+    got = found()
+    want = {(int(a), b) for a, bs in brute(ids, x, 10, 0.9).items() for b in bs}
+    assert len(want) > 30_000 and len(got & want) >= 0.97 * len(want)
+    monkeypatch.setattr(neighbours, "BLOCK", 300)  # ranges in many blocks
+    assert len(found() ^ got) <= 2  # rounding of equal cosines
+
+
+def test_prefixes_find_their_cosine_and_trees_grow():
+    for cosine in (0.9, 0.95, 0.99):
+        bits = neighbours.prefix_bits(cosine, 16)
+        missed = lambda n: (1 - (1 - np.arccos(cosine) / np.pi) ** n) ** 16  # noqa: B023, E731
+        assert missed(bits) <= 0.02 < missed(bits + 1)
+    assert neighbours.prefix_bits(1.0, 16) == 64 and neighbours.trees_for(50_000, 0.9) == 16
+    assert [neighbours.trees_for(10**n, 0.9) for n in (6, 7, 8)] == [32, 64, 64]
+
+
 def test_copies_unusable_and_ties(spark):
     v = [1.0, 2.0, 0.0]
     rows = [(i, "v", 3, v, None, 0) for i in range(1, 31)]  # one class holds most rows
