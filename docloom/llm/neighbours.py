@@ -89,18 +89,36 @@ def hashed(vectors: DataFrame, trees: int) -> DataFrame:
     return flat.mapInPandas(run, "class bigint, space bigint, unit array<float>, trees array<bigint>")
 
 
-def _best(queries: np.ndarray, data: np.ndarray, of: np.ndarray, to: np.ndarray, least: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The pairs (of, to, cosine) of at least ``least`` and, with ties, among the k best of their query here."""
+def _best(queries: np.ndarray, data: np.ndarray, of: np.ndarray, to: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple]:
+    """The pairs (of, to, cosine), as arrays, of at least ``least`` and, with ties, among the k best of their query here."""
     for start in range(0, len(queries), 512):
         q = queries[start : start + 512]
         near = q @ data.T
-        near[of[start : start + 512, None] == to[None, :]] = -2.0
-        bound = least[start : start + 512] - 1e-5
-        if len(data) > k:
-            bound = np.maximum(bound, np.partition(near, len(data) - k, axis=1)[:, len(data) - k] - 1e-6)
-        i, j = np.nonzero(near >= bound[:, None])
+        i, j = np.nonzero(near >= least[start : start + 512, None] - 1e-5)
+        other = of[start + i] != to[j]
+        i, j = i[other], j[other]
+        many = np.flatnonzero(np.bincount(i, minlength=len(q)) > k)
+        if len(many):
+            # the k + 1 best, since a vector may be among its own rows
+            best = np.full(len(q), -2.0, np.float32)
+            best[many] = np.partition(near[many], len(data) - k - 1, axis=1)[:, len(data) - k - 1] - 1e-6
+            kept = near[i, j] >= best[i]
+            i, j = i[kept], j[kept]
         cosines = np.einsum("ij,ij->i", q[i].astype(np.float64), data[j].astype(np.float64))
-        yield pd.DataFrame({"of": of[start + i], "to": to[j], "cosine": cosines})
+        yield of[start + i], to[j], cosines
+
+
+def _framed(found: Iterator[tuple], rows: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Many small results as few frames."""
+    held, n = [], 0
+    for part in found:
+        held.append(part)
+        n += len(part[0])
+        if n >= rows:
+            yield pd.DataFrame(dict(zip(("of", "to", "cosine"), map(np.concatenate, zip(*held)))))
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame(dict(zip(("of", "to", "cosine"), map(np.concatenate, zip(*held)))))
 
 
 def descended(strings: DataFrame, k: int, least: float) -> DataFrame:
@@ -110,7 +128,7 @@ def descended(strings: DataFrame, k: int, least: float) -> DataFrame:
     of partitions lose no result.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         tail = None
         for frame in frames:
             whole = frame if tail is None else pd.concat([tail, frame], ignore_index=True)
@@ -124,19 +142,17 @@ def descended(strings: DataFrame, k: int, least: float) -> DataFrame:
 
     order = ["space", "tree", "string"]
     arrays = strings.filter(F.col("tree") < DESCENT_TREES).repartitionByRange(*order).sortWithinPartitions(*order, "class")
-    return arrays.mapInPandas(run, "of bigint, to bigint, cosine double")
+    return arrays.mapInPandas(lambda frames: _framed(near(frames)), "of bigint, to bigint, cosine double")
 
 
 def _cells(cells: DataFrame, k: int, order: list[str]) -> DataFrame:
     """(of, to, cosine) within each cell: whoever asks (role 2) against the rows (role 1) that share its first ``bits`` bits."""
 
-    def compared(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        role, ids = part["role"].to_numpy(), part["class"].to_numpy()
+    def compared(ids, unit, strings, bits, least, role) -> Iterator[tuple]:
         ask, data = (role & 2) > 0, (role & 1) > 0
         if len(ids) < 2 or not ask.any() or not data.any():
             return
-        units, least = np.stack(part.unit.to_numpy()), part["bound"].to_numpy(np.float32)
-        strings, bits = part["string"].to_numpy().view(np.uint64), part["bits"].to_numpy()
+        units = np.stack(unit)
         for length in np.unique(bits[ask]):
             prefix = strings >> np.uint64(BITS - length)
             edges = [0, *(np.flatnonzero(prefix[1:] != prefix[:-1]) + 1), len(prefix)]
@@ -146,28 +162,32 @@ def _cells(cells: DataFrame, k: int, order: list[str]) -> DataFrame:
                 if len(q) and hi - lo > 1:
                     yield from _best(units[q], units[d], ids[q], ids[d], least[q], k)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+    def near(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        held: list[tuple] = []
         now = None
 
-        def flush() -> Iterator[pd.DataFrame]:
-            whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+        def flush() -> Iterator[tuple]:
+            whole = held[0] if len(held) == 1 else tuple(map(np.concatenate, zip(*held)))
             held.clear()
-            return compared(whole)
+            return compared(*whole)
 
         for frame in frames:
             names = frame["cell"].to_numpy()
+            columns = (
+                frame["class"].to_numpy(), frame["unit"].to_numpy(), frame["string"].to_numpy().view(np.uint64), frame["bits"].to_numpy(),
+                frame["bound"].to_numpy(np.float32), frame["role"].to_numpy(),
+            )
             edges = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
             for a, b in zip(edges, edges[1:]):
                 if held and names[a] != now:
                     yield from flush()
                 now = names[a]
-                held.append(frame.iloc[a:b])
+                held.append(tuple(c[a:b] for c in columns))
         if held:
             yield from flush()
 
     columns = ["cell", "class", "unit", "string", "bits", "bound", "role"]
-    return cells.select(*columns).repartition("cell").sortWithinPartitions("cell", *order).mapInPandas(run, "of bigint, to bigint, cosine double")
+    return cells.select(*columns).repartition("cell").sortWithinPartitions("cell", *order).mapInPandas(lambda frames: _framed(near(frames)), "of bigint, to bigint, cosine double")
 
 
 def ascended(strings: DataFrame, k: int, shortest: int) -> DataFrame:
