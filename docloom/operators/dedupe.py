@@ -64,6 +64,19 @@ def identities_conflict(left: Column, right: Column) -> Column:
     return (F.size(left) > 0) & (F.size(right) > 0) & ~F.arrays_overlap(left, right)
 
 
+def review_conflict(left: Column, right: Column) -> Column:
+    """Why a review must not merge: the first kind of which both have identities and share none, else any of them; null if nothing does.
+
+    Stricter than ``identities_conflict``: a shared identity of one kind doesn't outweigh different ones of another.
+    """
+    reason = F.when(identities_conflict(left, right), "conflict:vulnerability")
+    for kind in ("ghsa", "cve", "cnvd"):  # innermost first: cnvd, cve, ghsa in their order
+        mark = f"{kind.upper()}-"
+        own = [F.filter(side, lambda v: v.startswith(mark)) for side in (left, right)]  # noqa: B023
+        reason = F.when(identities_conflict(*own), f"conflict:{kind}").otherwise(reason)
+    return reason
+
+
 def _star(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with the smallest id of its key: as many edges as rows, however large the group."""
     centre = rows.groupBy(*keys).agg(F.min("id").alias("b"))
@@ -214,17 +227,25 @@ def duplicate_edges(docs: DataFrame) -> DataFrame:
     return found.distinct()
 
 
+def approved_edges(docs: DataFrame, approved: DataFrame) -> DataFrame:
+    """The reviewed pairs (a, b) within one scope whose identities don't conflict: a review overrides neither."""
+    side = lambda p: docs.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "scope", "ids")))
+    both = approved.join(side("l"), F.col("a") == F.col("l_id")).join(side("r"), F.col("b") == F.col("r_id"))
+    return both.filter((F.col("l_scope") == F.col("r_scope")) & ~identities_conflict(F.col("l_ids"), F.col("r_ids"))).select("a", "b").distinct()
+
+
 def deduplicate(documents: DataFrame, scope: Column | None = None, approved: DataFrame | None = None) -> DataFrame:
     """(document_id, near_dup_of, duplicate_kind, duplicate_score): every document; nulls for masters and singles.
 
     Edges make components; the master is the member of the best trust tier, then
     quality, body length, title length and smallest id. The kind says how a document
-    compares with its master. ``approved`` (a, b) adds reviewed pairs within a scope.
+    compares with its master: review_approved where only the pair with it was reviewed.
+    ``approved`` (a, b) adds reviewed pairs within a scope that don't conflict.
     """
     docs = cut(prepared(documents, scope))
     edges = duplicate_edges(docs)
     if approved is not None:
-        edges = edges.unionByName(approved.select("a", "b"))
+        edges = edges.unionByName(approved_edges(docs, approved))
     components = connected_components(edges)
     rank = F.struct(
         trust_rank(F.col("trust_tier")).alias("tier"), (-F.col("parse_quality")).alias("quality"), (-F.col("body_length")).alias("body"),
@@ -243,7 +264,11 @@ def deduplicate(documents: DataFrame, scope: Column | None = None, approved: Dat
         .otherwise("near_title")
     )
     judged = judged.select("id", "master", kind.alias("kind"), similarity.alias("similarity"))
-    score = F.when(F.col("kind") == "near_title", F.round(F.col("similarity") / 100, 4)).otherwise(1.0)
+    if approved is not None:
+        ways = approved_edges(docs, approved).select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("master")), F.struct(F.col("b").alias("id"), F.col("a").alias("master")))).alias("w")).select("w.*").distinct()
+        judged = judged.join(ways.withColumn("reviewed", F.lit(True)), ["id", "master"], "left")
+        judged = judged.withColumn("kind", F.when(F.col("reviewed") & (F.col("kind") == "near_title"), "review_approved").otherwise(F.col("kind")))
+    score = F.when(F.col("kind").isin("near_title", "review_approved"), F.round(F.col("similarity") / 100, 4)).otherwise(1.0)
     return documents.select("id").join(judged, "id", "left").select(
         F.col("id").alias("document_id"), F.col("master").alias("near_dup_of"), F.col("kind").alias("duplicate_kind"), F.when(F.col("kind").isNotNull(), score).alias("duplicate_score")
     )
@@ -294,12 +319,12 @@ def assess(pairs: DataFrame) -> DataFrame:
     (similarity), prefixed l_ and r_ where there are two.
     """
     scored = pairs.withColumn("title_score", title_similarity("l_folded", "r_folded"))
-    conflict = identities_conflict(F.col("l_ids"), F.col("r_ids"))
+    conflict = review_conflict(F.col("l_ids"), F.col("r_ids"))
     outside = ~within_days(F.col("l_at"), F.col("r_at"), 30)
     distance, shared = F.col("distance"), F.coalesce("minhash", F.lit(0.0))
     blend = F.round(F.greatest(F.col("title_score") / 100, F.coalesce(1 - distance / F.lit(64), F.lit(0.0)), shared), 4)
     rules = (
-        (conflict, "separate", F.lit("conflict:identity"), F.lit(0.0)),
+        (conflict.isNotNull(), "separate", conflict, F.lit(0.0)),
         (outside, "separate", F.lit("outside_time_window"), F.lit(0.0)),
         (F.col("l_url") == F.col("r_url"), "merge", F.lit("exact_url"), F.lit(1.0)),
         ((F.col("l_folded") == F.col("r_folded")) & (F.col("l_folded") != ""), "merge", F.lit("exact_title"), F.lit(1.0)),

@@ -43,7 +43,9 @@ def bounded_key(kind: str, *parts: Column) -> Column:
 def strong_keys(identifiers: Column, url: Column, vulnerability_feed: Column) -> Column:
     """Distinct stable event keys of a document, identities before addresses."""
     cve = F.transform(identity_values(identifiers, "cve"), lambda v: F.concat(F.when(vulnerability_feed, "cve-nvd:").otherwise("cve:"), v))
-    others = [F.transform(identity_values(identifiers, k), lambda v, k=k: F.concat(F.lit(f"{k}:"), v)) for k in ("ghsa", "cnvd")]
+    # a second parameter of the function would be the place in the array
+    marked = lambda kind: F.transform(identity_values(identifiers, kind), lambda v: F.concat(F.lit(f"{kind}:"), v))
+    others = [marked(kind) for kind in ("ghsa", "cnvd")]
     paper = F.regexp_extract(url, ARXIV, 1)
     release = bounded_key("github_release", *(F.regexp_extract(url, RELEASE, i) for i in (1, 2, 3)))
     addresses = F.array_compact(F.array(F.when(paper != "", F.concat(F.lit("arxiv:"), paper)), F.when(url.rlike(RELEASE), release)))
@@ -161,9 +163,28 @@ def revisions(snapshots: DataFrame, key: str, at: str, payload: str) -> DataFram
     return fresh.withColumn("revision", F.row_number().over(order)).drop("__old")
 
 
+def superseded(revisions: DataFrame, keys: list[str], order: list[str], key: str) -> DataFrame:
+    """``revisions`` with superseded_by, the ``key`` of the next one of the same keys; null for the current one. Null orders come first."""
+    following = Window.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    return revisions.withColumn("superseded_by", F.lead(key).over(following))
+
+
+def with_fulltext(documents: DataFrame, texts: DataFrame, key: str, body: str, versions: list[str]) -> DataFrame:
+    """Documents with the bodies fetched for them; what was derived from another body is due again (its versions are null).
+
+    ``texts`` has the key and the body, one row a key; null bodies change nothing.
+    """
+    fetched = texts.filter(F.col(body).isNotNull()).select(key, F.col(body).alias("__new"))
+    joined = documents.join(fetched, key, "left")
+    changed = F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col(body))
+    reset = {v: F.when(~changed, F.col(v)) for v in versions}
+    return joined.withColumns(reset | {body: F.coalesce("__new", body)}).select(*documents.columns)
+
+
 def as_of(versions: DataFrame, keys: list[str], at: str, moment: Column) -> DataFrame:
-    """The latest version of every key at or before a moment."""
-    order = Window.partitionBy(*keys).orderBy(F.col(at).desc())
+    """The latest version of every key at or before a moment; of equal times the largest in the other columns, in their order."""
+    rest = [F.col(c).desc() for c in versions.columns if c not in (*keys, at)]
+    order = Window.partitionBy(*keys).orderBy(F.col(at).desc(), *rest)
     return versions.filter(F.col(at) <= moment).withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
 
 

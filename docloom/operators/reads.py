@@ -69,7 +69,8 @@ def overlapping(events: DataFrame, first: str, last: str, since: Column, until:
 def round_robin(rows: DataFrame, by: str, key: str, n: int, seed: str = "") -> DataFrame:
     """A sample that draws one row of each group in turn, in an order both hashed and reproducible."""
     turn = F.row_number().over(Window.partitionBy(by).orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256), key))
-    return rows.withColumn("turn", turn).orderBy("turn", F.col(by).asc_nulls_first(), key).limit(n)
+    # no group gives more than n rows: the limit is planned below the exchange
+    return rows.withColumn("turn", turn).filter(F.col("turn") <= n).orderBy("turn", F.col(by).asc_nulls_first(), key).limit(n)
 
 
 def label_by_aliases(text: Column, vocabulary: dict[str, list[str]]) -> Column:
@@ -97,3 +98,42 @@ def binary_metrics(pairs: DataFrame, predicted: Column, actual: Column) -> DataF
     ratio = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / b, 4))
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counts.select("*", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(fp, fp + tn).alias("wrong_merge_rate"))
+
+
+def version_due(stored: Column, current: Column | str) -> Column:
+    """Whether a row was never handled or by another version; never null."""
+    wanted = F.lit(current) if isinstance(current, str) else current
+    return ~stored.eqNullSafe(wanted)
+
+
+def is_noise(title: Column, topic: Column, words: tuple[str, ...]) -> Column:
+    """Whether a title without a topic holds one of the words, in any case; never null."""
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.lower(title), F.lit(w.lower()))
+    return F.coalesce((F.coalesce(topic, F.lit("")) == "") & hit, F.lit(False))
+
+
+def is_followed(score: Column, texts: list[Column], follow: tuple[str, ...], least: float) -> Column:
+    """Whether a score reaches ``least`` (an unreadable one is 0) and one of the words occurs in the texts; all rows without words to follow."""
+    if not follow:
+        return F.lit(True)
+    hay = F.lower(F.concat_ws(" ", *texts))
+    hit = F.lit(False)
+    for w in follow:
+        hit = hit | F.contains(hay, F.lit(w.lower()))
+    return (F.coalesce(score.try_cast("double"), F.lit(0.0)) >= least) & F.coalesce(hit, F.lit(False))
+
+
+def first_of_each(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each key by ``order``, whose rank among all it keeps."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__n = 1").drop("__n")
+
+
+def set_fingerprint(rows: DataFrame, by: list[str], member: Column) -> DataFrame:
+    """(by, fingerprint, members): SHA-256 over the sorted different SHA-256 of each group's members.
+
+    The members of a group are one value here; use sums of hashes (``result_fingerprints``) where groups aren't small.
+    """
+    digests = rows.select(*by, F.sha2(member, 256).alias("d")).distinct()
+    return digests.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("members"))

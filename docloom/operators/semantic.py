@@ -92,18 +92,22 @@ def cosine(left: Column, right: Column) -> Column:
     return F.when(F.coalesce(usable, F.lit(False)), dot / (norm(left) * norm(right))).otherwise(-1.0)
 
 
-def recall_in_window(seeds: DataFrame, pool: DataFrame, days: int = 30, k: int = 10, threshold: float = 0.82) -> DataFrame:
+def recall_in_window(seeds: DataFrame, pool: DataFrame, days: int = 30, k: int = 10, threshold: float = 0.82, newest: int | None = None) -> DataFrame:
     """(seed_id, id, similarity): the k most similar earlier vectors within ``days`` of each seed, then the threshold.
 
     Both sides have id, space, at, vector. A band join: each pool row sits in one
     bucket of ``days`` days, a seed looks into three; so only vectors near in time
-    are compared. Top-k comes before the threshold. Null times never match.
+    are compared. Top-k comes before the threshold. Null times never match. ``newest``
+    compares each seed with so many of the largest ids only (the feature of a bounded pool).
     """
     span = days * 86_400_000_000
     micros = F.unix_micros(F.col("at").cast("timestamp"))
     bucketed = pool.withColumn("t", micros).withColumn("bucket", F.floor(F.col("t") / span))
     looking = seeds.withColumn("t", micros).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("t") / span) - 1, F.floor(F.col("t") / span) + 1)))
     pairs = looking.alias("s").join(bucketed.alias("p"), ["space", "bucket"]).filter((F.col("p.id") < F.col("s.id")) & (F.abs(F.col("s.t") - F.col("p.t")) <= span))
+    if newest is not None:
+        latest = Window.partitionBy("s.id").orderBy(F.col("p.id").desc())
+        pairs = pairs.withColumn("place", F.row_number().over(latest)).filter(F.col("place") <= newest)
     scored = pairs.select(F.col("s.id").alias("seed_id"), F.col("p.id").alias("id"), F.round(cosine(F.col("s.vector"), F.col("p.vector")), 6).alias("similarity"))
     best = Window.partitionBy("seed_id").orderBy(F.col("similarity").desc(), "id")
     return scored.withColumn("n", F.row_number().over(best)).filter((F.col("n") <= k) & (F.col("similarity") >= threshold)).drop("n")

@@ -10,6 +10,10 @@ from ..session import cut, table
 from .texts import _SQ, _WS
 
 
+#: Blocks of vectors that a set of queries is compared with.
+BLOCKS = 64
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "intel_documents")
 
@@ -120,11 +124,14 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar of all vectors for every query vector (ids divisible by 100)."""
     from pyspark.sql import Window
 
-    rows = table(spark, sf_dir, "embeddings")
-    pairs = rows.filter("vec_id % 100 = 0").alias("q").join(rows.alias("v"), F.size("q.embedding") == F.size("v.embedding")).filter("q.vec_id != v.vec_id")
-    scored = pairs.select(F.col("q.vec_id").alias("query_id"), F.col("v.vec_id").alias("vec_id"), F.round(semantic.cosine(F.col("q.embedding"), F.col("v.embedding")), 6).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
+    # the vectors stay where they are, in blocks; each block keeps its ten best of every query before they meet
+    rows = table(spark, sf_dir, "embeddings").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(BLOCKS)))
+    asked = rows.filter("vec_id % 100 = 0").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCKS - 1).cast("long"))))
+    pairs = asked.alias("q").join(rows.alias("v"), "block").filter((F.size("q.embedding") == F.size("v.embedding")) & (F.col("q.vec_id") != F.col("v.vec_id")))
+    scored = pairs.select("block", F.col("q.vec_id").alias("query_id"), F.col("v.vec_id").alias("vec_id"), F.round(semantic.cosine(F.col("q.embedding"), F.col("v.embedding")), 6).alias("similarity"))
+    best = [F.row_number().over(Window.partitionBy(*by, "query_id").orderBy(F.col("similarity").desc(), "vec_id")) for by in (["block"], [])]
+    near = scored.withColumn("rank", best[0]).filter("rank <= 10").drop("rank")
+    return near.drop("block").withColumn("rank", best[1]).filter("rank <= 10")
 
 
 def vector_recall_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,7 +208,7 @@ SELECT record, version, array_to_string(list_filter([CASE WHEN n = 1 OR c IS DIS
 WITH v AS ({_RECORDS}), l AS (SELECT record, version AS id, content_hash, lag(content_hash) OVER (PARTITION BY record ORDER BY version) AS c FROM v)
 SELECT record, id, content_hash, row_number() OVER (PARTITION BY record ORDER BY id) AS revision FROM l WHERE content_hash IS DISTINCT FROM c""",
     "snapshot_as_of": """
-WITH r AS (SELECT document_id, dedupe_version, deduped_at, row_number() OVER (PARTITION BY document_id ORDER BY deduped_at DESC) AS n FROM dedup_decisions WHERE deduped_at <= TIMESTAMP '2026-11-01 00:00:00')
+WITH r AS (SELECT document_id, dedupe_version, deduped_at, row_number() OVER (PARTITION BY document_id ORDER BY deduped_at DESC, id DESC) AS n FROM dedup_decisions WHERE deduped_at <= TIMESTAMP '2026-11-01 00:00:00')
 SELECT document_id, dedupe_version, deduped_at FROM r WHERE n = 1""",
     "as_of_join": """
 SELECT e.event_id, e.user_id, e.ts, c.value FROM (SELECT * FROM events WHERE event_type = 'error') e

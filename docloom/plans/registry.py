@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dedupe, events, feeds, health, reads, texts
+from . import dedupe, events, feeds, health, policies, reads, texts
 
-MODULES = (feeds, texts, dedupe, events, reads, health)
+MODULES = (feeds, texts, dedupe, events, reads, health, policies)
 
 
 def queries() -> dict:

@@ -28,7 +28,7 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (tests, local runs) is a temporary one set.
+    Only a local run that names none gets a temporary one; a cluster that doesn't is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("name the folder all executors share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
     return spark.sparkContext.getCheckpointDir()
 

@@ -126,3 +126,66 @@ def parse_article(rows: DataFrame) -> DataFrame:
     """Whole pages: ``html`` and ``url``."""
     rows = rows.withColumn("a", article("html"))
     return projection(rows, F.col("a.title"), F.col("a.body"), F.col("url"), F.col("a.date"), LEAST_BODY["article"])
+
+
+KEV = "cveID string, vendorProject string, product string, vulnerabilityName string, dateAdded string, shortDescription string, requiredAction string"
+PAPER = "id string, title string, summary string, published string, updated string, authors array<string>, categories array<string>"
+RELEASE = "id string, tag_name string, name string, body string, html_url string, published_at string"
+TRANSLATED = "id string, title string, title_zh string, summary string, url string, published_at string"
+SITE_ARTICLE = "title string, body string, url string, published_at string, lastmod string"
+
+
+def _read(rows: DataFrame, schema: str) -> DataFrame:
+    return rows.withColumn("r", F.from_json("raw_text", schema))
+
+
+def parse_kev(rows: DataFrame) -> DataFrame:
+    """A record of exploited vulnerabilities: description and required action are the body, its own id the only identity."""
+    rows = _read(rows, KEV)
+    body = F.concat_ws("\n\n", null_if_blank(F.col("r.shortDescription")), null_if_blank(F.col("r.requiredAction")))
+    title = F.concat_ws(": ", F.upper("r.cveID"), null_if_blank(F.col("r.vulnerabilityName")))
+    lower = lambda c: F.array_compact(F.array(null_if_blank(F.lower(F.trim(c)))))
+    out = projection(rows, title, body, F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), F.upper("r.cveID")), F.col("r.dateAdded"), LEAST_BODY["kev"], lower("r.vendorProject").alias("vendors"), lower("r.product").alias("products"), F.upper("r.cveID").alias("__id"))
+    return out.withColumn("identifiers", F.when(F.col("__id").isNotNull(), F.create_map(F.lit("cve"), F.array("__id"))).otherwise(F.col("identifiers"))).drop("__id")
+
+
+def parse_paper(rows: DataFrame) -> DataFrame:
+    """A paper's record with its authors and categories."""
+    rows = _read(rows, PAPER)
+    lists = [F.coalesce(F.col(f"r.{c}"), F.array().cast("array<string>")).alias(c) for c in ("authors", "categories")]
+    return projection(rows, F.col("r.title"), F.col("r.summary"), F.col("r.id"), F.coalesce("r.published", "r.updated"), LEAST_BODY["arxiv"], *lists)
+
+
+def parse_release(rows: DataFrame) -> DataFrame:
+    """A release: its name, else its tag, else its id."""
+    rows = _read(rows, RELEASE)
+    title = F.coalesce(*(null_if_blank(F.trim(F.col(f"r.{c}"))) for c in ("name", "tag_name", "id")))
+    return projection(rows, title, F.col("r.body"), F.col("r.html_url"), F.col("r.published_at"), LEAST_BODY["github"], F.col("r.tag_name").alias("tag"))
+
+
+def parse_translated(rows: DataFrame) -> DataFrame:
+    """An item of a translated feed; title_zh only where it differs from the title."""
+    rows = _read(rows, TRANSLATED)
+    title = F.coalesce(null_if_blank(F.col("r.title")), F.col("r.title_zh"))
+    other = F.when(~F.col("r.title_zh").eqNullSafe(title), null_if_blank(F.col("r.title_zh")))
+    return projection(rows, title, F.col("r.summary"), F.col("r.url"), F.col("r.published_at"), LEAST_BODY["rss"], other.alias("title_zh"))
+
+
+def parse_site_article(rows: DataFrame) -> DataFrame:
+    """An article fetched by a site map; dated by its last change where it has no date."""
+    rows = _read(rows, SITE_ARTICLE)
+    return projection(rows, F.col("r.title"), F.col("r.body"), F.col("r.url"), F.coalesce(null_if_blank(F.col("r.published_at")), F.col("r.lastmod")), LEAST_BODY["article"])
+
+
+#: The parser of each kind of record.
+PARSERS = {
+    "rss": parse_rss, "nvd": parse_nvd, "kev": parse_kev, "arxiv": parse_paper, "github": parse_release,
+    "translated": parse_translated, "sitemap": parse_site_article, "web": parse_article,
+}
+
+
+def parse(rows: DataFrame, kind: str) -> DataFrame:
+    """The projection of raw records of one kind; an unknown kind is an error."""
+    if kind not in PARSERS:
+        raise ValueError(f"unknown kind {kind!r}, known are {', '.join(sorted(PARSERS))}")
+    return PARSERS[kind](rows)

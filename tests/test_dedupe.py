@@ -220,3 +220,32 @@ def test_exact_pairs_need_no_shared_token(spark):
     got = {tuple(r) for r in dedupe.exact_pairs(docs).collect()}
     assert {p for p in got if p[0] < 100} == {(1, 2), (1, 3)}
     assert {(100 + i, 101 + i) for i in range(129)} <= got and len(got) < 1000
+
+
+def test_reviews_override_neither_scope_nor_conflict(spark):
+    docs = spark.createDataFrame([doc(1, "One thing", ids={"cve": ["CVE-2026-1111"]}), doc(2, "Another", ids={"cve": ["CVE-2026-2222"]}), doc(3, "A third"), doc(4, "Fourth"), doc(5, "Fifth")], DOC)
+    approved = spark.createDataFrame([(1, 2), (3, 4), (4, 5)], "a long, b long")
+    scope = F.when(F.col("id") == 5, "vuln").otherwise("general")
+    got = {r.document_id: (r.near_dup_of, r.duplicate_kind) for r in dedupe.deduplicate(docs, scope, approved).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (3, "review_approved"), 5: (None, None)}
+
+
+def test_the_review_rule_is_stricter(spark):
+    rows = [(["CVE-2026-1111", "GHSA-AAAA-BBBB-CCCC"], ["CVE-2026-2222", "GHSA-AAAA-BBBB-CCCC"]), (["CVE-2026-1111"], ["GHSA-AAAA-BBBB-CCCC"]), (["CVE-2026-1111"], ["CVE-2026-1111"]), ([], ["CVE-2026-1111"])]
+    df = spark.createDataFrame(rows, "l array<string>, r array<string>")
+    got = df.select(dedupe.review_conflict(F.col("l"), F.col("r")), dedupe.identities_conflict(F.col("l"), F.col("r"))).collect()
+    assert [tuple(r) for r in got] == [("conflict:cve", False), ("conflict:vulnerability", True), (None, False), (None, False)]
+
+
+def test_fulltext_makes_what_depended_on_it_due(spark):
+    docs = spark.createDataFrame([(1, "short", "v1", "x"), (2, "same", "v1", "x"), (3, None, "v1", "x"), (4, "kept", "v1", "x")], "id int, body string, version string, other string")
+    texts = spark.createDataFrame([(1, "long"), (2, "same"), (3, "new"), (4, None), (9, "nobody")], "id int, body string")
+    got = events.with_fulltext(docs, texts, "id", "body", ["version"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "long", None, "x"), (2, "same", "v1", "x"), (3, "new", None, "x"), (4, "kept", "v1", "x")]
+
+
+def test_event_keys_of_all_identities(spark):
+    ids = {"ghsa": ["ghsa-aaaa-bbbb-cccc"], "cnvd": ["CNVD-2026-00001"], "cve": ["CVE-2026-1234"]}
+    docs = spark.createDataFrame([doc(1, ids=ids)], DOC)
+    keys = docs.select(events.strong_keys(F.col("identifiers"), F.col("canonical_url"), F.lit(True))).head()[0]
+    assert keys == ["cve-nvd:CVE-2026-1234", "ghsa:GHSA-AAAA-BBBB-CCCC", "cnvd:CNVD-2026-00001"]
