@@ -140,4 +140,20 @@ f AS (
   HAVING count(DISTINCT id) >= 4 AND count(DISTINCT id) * 100 >= 8 * total
 )
 SELECT id AS document_id, line_no FROM n JOIN f USING (endpoint_id, line)""",
+    "p7_clean": f"""
+WITH d AS (
+  SELECT id, endpoint_id, string_split(body_text, chr(10)) AS lines FROM normalized_documents WHERE NOT ({_BLANK.format("body_text")})
+), l AS (
+  SELECT id, endpoint_id, unnest(lines) AS raw, unnest(range(len(lines)))::INT AS line_no FROM d
+), n AS (
+  SELECT id, endpoint_id, line_no, raw, regexp_replace(trim(regexp_replace(lower(raw), '[\\s\\x0b\\x{{85}}\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+', ' ', 'g')), '[0-9]+', '0', 'g') AS line FROM l
+), t AS (SELECT endpoint_id, count(*) AS total FROM d GROUP BY endpoint_id),
+f AS (
+  SELECT n.endpoint_id, line FROM n JOIN t USING (endpoint_id) WHERE line <> '' GROUP BY n.endpoint_id, line, total
+  HAVING count(DISTINCT id) >= 4 AND count(DISTINCT id) * 100 >= 8 * total
+), c AS (
+  SELECT id, coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (WHERE f.line IS NULL), '') AS body
+  FROM n LEFT JOIN f ON f.endpoint_id = n.endpoint_id AND f.line = n.line GROUP BY id
+)
+SELECT d.id, coalesce(c.body, d.body_text) AS body_text FROM normalized_documents d LEFT JOIN c ON c.id = d.id""",
 }
