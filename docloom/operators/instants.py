@@ -12,16 +12,6 @@ from ..session import cut
 KEYS = ("spelling", "policy_timezone", "policy_date_order")
 
 
-def conventions(endpoints: DataFrame) -> DataFrame:
-    """One row per endpoint with its zone, date order and the abbreviations of its zone."""
-    zones = zone_abbreviations(endpoints.sparkSession)
-    return (
-        endpoints.select(F.col("id").alias("endpoint_id"), "policy_timezone", "policy_date_order")
-        .dropDuplicates(["endpoint_id"])
-        .join(F.broadcast(zones), "policy_timezone", "left")
-    )
-
-
 def spelled_times(items: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(table_name, record_id, spelling, zone, order) of all items with a non-blank time.
 
