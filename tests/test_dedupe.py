@@ -249,3 +249,14 @@ def test_event_keys_of_all_identities(spark):
     docs = spark.createDataFrame([doc(1, ids=ids)], DOC)
     keys = docs.select(events.strong_keys(F.col("identifiers"), F.col("canonical_url"), F.lit(True))).head()[0]
     assert keys == ["cve-nvd:CVE-2026-1234", "ghsa:GHSA-AAAA-BBBB-CCCC", "cnvd:CNVD-2026-00001"]
+
+
+def test_candidates_of_large_tables_are_never_sent_to_the_driver(spark, tmp_path):
+    rows = [(i, T0, [f"sim:0:{i % 3}"], [f"held by {n}" for n in (100, 101) if i < n]) for i in range(102)] + [(200, None, ["min:1:x"], []), (201, T0 + timedelta(days=99), ["min:1:x"], [])]
+    spark.createDataFrame(rows, "id long, at timestamp, bands array<string>, blocking array<string>").write.parquet(path := str(tmp_path / "signed"))
+    pairs = dedupe.candidate_pairs(spark.read.parquet(path))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    found = {(r.a, r.b): (r.bands, r.lexical) for r in pairs.collect()}
+    # the token of 101 documents gives nothing, that of 100 is one lexical token, which alone is no candidate
+    expected = {(a, b): (1, int(b < 100)) for a in range(102) for b in range(a + 1, 102) if a % 3 == b % 3} | {(200, 201): (1, 0)}
+    assert found == expected
