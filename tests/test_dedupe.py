@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from docloom.functions import signatures, text, urls
-from docloom.functions.similarity import common_length, fold_title, folded_similarity, indel_ratio
+from docloom.functions.similarity import common_length, fold_title, folded_similarities, folded_similarity, indel_ratio
 from docloom.operators import dedupe, events
 from docloom.operators.graph import connected_components
 
@@ -260,3 +260,21 @@ def test_candidates_of_large_tables_are_never_sent_to_the_driver(spark, tmp_path
     # the token of 101 documents gives nothing, that of 100 is one lexical token, which alone is no candidate
     expected = {(a, b): (1, int(b < 100)) for a in range(102) for b in range(a + 1, 102) if a % 3 == b % 3} | {(200, 201): (1, 0)}
     assert found == expected
+
+
+def test_exact_pairs_of_large_tables_are_never_sent_to_the_driver(spark, tmp_path, monkeypatch):
+    rows = [(i, [], T0, f"u{i // 2}", "", None) for i in range(20)]
+    spark.createDataFrame(rows, "id long, ids array<string>, at timestamp, url string, folded string, content string").write.parquet(path := str(tmp_path / "docs"))
+    # the edges of hot values join with a row per hot value, which may be sent
+    monkeypatch.setattr(dedupe, "_linked", lambda rows, key: rows.select(F.col("id").alias("a"), F.col("id").alias("b")).filter("false"))
+    pairs = dedupe.exact_pairs(spark.read.parquet(path))
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in pairs.collect()} == {(i, i + 1) for i in range(0, 20, 2)}
+
+
+def test_similarities_over_arrays_are_those_of_single_titles():
+    random.seed(3)
+    words = ["ab", "a", "漏洞", "𠀀x", "prompt", "injection", "z" * 130, "é"]
+    titles = ["", *(" ".join(random.choices(words, k=random.randint(1, 9))) for _ in range(300))]
+    x, y = random.choices(titles, k=2000), random.choices(titles, k=2000)
+    assert folded_similarities(x, y, 64) == [folded_similarity(a, b) for a, b in zip(x, y)]
