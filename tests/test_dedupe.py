@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.functions import signatures, text, urls
-from docloom.functions.similarity import common_length, fold_title, folded_similarities, folded_similarity, indel_ratio
+from docloom.functions.similarity import _within, common_length, fold_title, folded_similarities, folded_similarity, indel_ratio, similar_in
 from docloom.operators import dedupe, events
 from docloom.operators.graph import connected_components
 
@@ -278,3 +279,19 @@ def test_similarities_over_arrays_are_those_of_single_titles():
     titles = ["", *(" ".join(random.choices(words, k=random.randint(1, 9))) for _ in range(300))]
     x, y = random.choices(titles, k=2000), random.choices(titles, k=2000)
     assert folded_similarities(x, y, 64) == [folded_similarity(a, b) for a, b in zip(x, y)]
+
+
+def test_filters_of_similar_titles_lose_nothing():
+    rng = random.Random(4)
+    words = ["agent", "prompt", "injection", "ab", "智能体框架", "x", "𠀀y", "vault", "of", "leak", "n" * 70]
+    titles = [" ".join(rng.choices(words, k=rng.randint(1, 20))) for _ in range(120)] + ["", "a" * 700, "a" * 690 + "b", "ab" * 1200, "ab" * 1150, "ba" * 1200]
+    changed = ["".join(c if rng.random() > 0.12 else "q" for c in " ".join(rng.sample(t.split(), len(t.split())))) for t in titles]
+    changed = [fold_title(t) for t in changed]
+    single = {(i, j): folded_similarity(x, y) for i, x in enumerate(titles) for j, y in enumerate(changed + titles)}
+    for score in (60, 82, 94):
+        i, j = similar_in(titles, changed + titles, score, tile=50)
+        assert {p for p, s in single.items() if s >= score} == {p for p in zip(i.tolist(), j.tolist()) if single[p] >= score} and len(i) < len(single) / 2
+    plain = [(i, j) for i in range(120) for j in range(120)]
+    outside = np.array([len(titles[i]) + len(titles[j]) - 2 * common_length(titles[i], titles[j]) for i, j in plain])
+    most = np.array([rng.randrange(1 + (len(titles[i]) + len(titles[j])) // 2) for i, j in plain])
+    assert (_within(titles, titles, *np.array(plain).T, most, chunk=1000, stride=5) == (outside <= most)).all()
